@@ -61,7 +61,7 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(texts: list[str | None], labels: list[int], bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: list[str | None], labels: list[int], bits: int = 20, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) that are not nought; the intercept has the coordinate 2**bits."""
     model, rows = Ftrl(bits, alpha, beta, l1, l2), []
     for _, _, owner, mark in features(pa.array(texts, pa.string()), bits) if texts else ():
