@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, exact_dedup, toxicity
+import public_tokenizers
+
+from . import common, exact_dedup, minhash_dedup, packing, toxicity
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_report(common.documents(spark, sf_dir))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_report(common.documents(spark, sf_dir))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_exact_dedup, op5_best_fit_packing, op9_toxicity)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
