@@ -38,9 +38,11 @@ def _first() -> Column:
 def digest_state(spark: SparkSession, prints: str, schema, max_bytes: int) -> tuple[DataFrame, str]:
     """Run the digests through the keyed stream; returns (digest, first, n) and the checkpoint that holds the state."""
     at = scratch(spark, "exact-state")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    # without preallocated files, each of which takes some MB of disk for every state partition
+    ours = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         (
             spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes)).parquet(prints)
@@ -49,7 +51,8 @@ def digest_state(spark: SparkSession, prints: str, schema, max_bytes: int) -> tu
             .start().awaitTermination()
         )
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     state = spark.read.format("statestore").load(at)
     first, n = state.schema["value"].dataType.names[:2]
     return state.select(F.col("key.digest").alias("digest"), F.col("value")[first].alias("first"), F.col("value")[n].alias("n")), at
