@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import common, exact_dedup, minhash_dedup, packing, toxicity
+from . import common, exact_dedup, minhash_dedup, packing, suffix_dedup, toxicity
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(common.documents(spark, sf_dir))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_exact_dedup, op5_best_fit_packing, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_minhash_near_dedup, op3_exact_dedup, op5_best_fit_packing, op9_toxicity)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
