@@ -1,9 +1,8 @@
 """License scans: a trained paragraph classifier over sparse word n-grams, confirmed against templates.
 
 Paragraphs are the lines of a text. The classifier is multinomial logistic regression over word pairs and triples, trained
-here on licence notices (templates, also with words of prose around them and with words lost) against prose. Only n-grams that
-hold a licence word carry weights, so a text without any such word has no feature: it gets the intercepts' class, which
-training holds to be "unknown". Probabilities are calibrated by a temperature, and the unknown class by the least probability
+here on licence notices (templates, also with words of prose around them and with words lost) against prose about the same
+words. A paragraph without any word of LICENCE_WORDS is "unknown", the class of the intercepts, without being read further. Probabilities are calibrated by a temperature, and the unknown class by the least probability
 that a prediction needs, both fitted on a held-out part of the training set. A prediction counts as confirmed if one template
 of its family has most of its word pairs in the paragraph.
 
@@ -29,7 +28,7 @@ from .common import KEY, keyed, settle
 
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
-#: A paragraph is read by the classifier if it has one of these; every weighted n-gram has one.
+#: A paragraph is read by the classifier if it has one of these.
 LICENCE_WORDS = r"licen|copyright|copyleft|warrant|redistribut|permission|public domain|creative commons"
 
 # Short notices by which common licences are named.
@@ -82,9 +81,8 @@ PROSE = (
 
 
 def grams(words: list[str]) -> set[str]:
-    """Pairs and triples with a licence word."""
-    every = {" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)}
-    return {g for g in every if re.search(LICENCE_WORDS, g)}
+    """Pairs and triples."""
+    return {" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)}
 
 
 def _examples(seed: int) -> list[tuple[list[str], str]]:
