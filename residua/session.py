@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,12 @@ def checkpointed(spark: SparkSession) -> SparkSession:
     if not context.getConf().get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="residua-checkpoint-"))
     return spark
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """spark whose Python workers find this package where it lies; on a cluster it is shipped with --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
