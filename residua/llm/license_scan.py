@@ -2,9 +2,10 @@
 
 Paragraphs are the lines of a text. The classifier is multinomial logistic regression over word pairs and triples, trained
 here on licence notices (templates, also with words of prose around them and with words lost) against prose about the same
-words. A paragraph without any word of LICENCE_WORDS is "unknown", the class of the intercepts, without being read further. Probabilities are calibrated by a temperature, and the unknown class by the least probability
-that a prediction needs, both fitted on a held-out part of the training set. A prediction counts as confirmed if one template
-of its family has most of its word pairs in the paragraph.
+words. A paragraph without any word of LICENCE_WORDS is "unknown", the class of the intercepts, without being read further.
+Probabilities are calibrated by a temperature, and the unknown class by the least probability that a prediction needs, both
+fitted on a held-out part of the training set. A prediction counts as confirmed if one template of its family has most of its
+word pairs in the paragraph.
 
 The weights and templates are a few hundred rows, whatever the corpus, and are broadcast. All work on the corpus is done in
 DataFrame functions.
@@ -22,7 +23,6 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import KEY, keyed, settle
 

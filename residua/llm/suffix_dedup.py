@@ -377,9 +377,9 @@ def _kept(data: bytes, spans: np.ndarray, gram: int) -> tuple[bytes, int]:
 
 
 def _cleaned(docs: DataFrame, gram: int, broadcast_rows: int, **options) -> DataFrame:
-    """Keyed docs with spans, null where nothing repeats."""
-    spans, _ = settle(repeated_spans(docs, gram=gram, broadcast_rows=broadcast_rows, **options), "suffix-spans")
-    n, most = spans.agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
+    """Keyed docs with _rsd_spans, null where nothing repeats."""
+    spans, _ = settle(repeated_spans(docs, gram=gram, broadcast_rows=broadcast_rows, **options).withColumnRenamed("spans", "_rsd_spans"), "suffix-spans")
+    n, most = spans.agg(F.count(F.lit(1)), F.sum(F.size("_rsd_spans"))).first()
     spans = F.broadcast(spans) if n + (most or 0) <= broadcast_rows else spans
     return docs.join(spans, KEY, "left")
 
@@ -397,7 +397,7 @@ def suffix_report(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.text_bytes(batch["text"])
-            spans, out = batch["spans"], []
+            spans, out = batch["_rsd_spans"], []
             for k in range(batch.num_rows):
                 own, runs = data[offsets[k] : offsets[k + 1]].tobytes(), 0
                 kept = own
@@ -409,7 +409,7 @@ def suffix_report(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_0
 
     found = _cleaned(rows, gram, broadcast_rows, **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "_rsd_spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_000, **options) -> DataFrame:
@@ -418,7 +418,7 @@ def suffix_dedup(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, texts = batch["spans"], batch["text"].to_pylist()
+            spans, texts = batch["_rsd_spans"], batch["text"].to_pylist()
             for k in range(batch.num_rows):
                 if spans[k].is_valid:
                     texts[k] = _kept(texts[k].encode(), _span_rows(spans, k), gram)[0].decode(errors="ignore")
@@ -426,6 +426,6 @@ def suffix_dedup(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_00
             cols = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    found = _cleaned(rows, gram, broadcast_rows, **options).select(*docs.columns, F.col("spans").alias("_rsd_spans")).withColumnRenamed("_rsd_spans", "spans")
+    found = _cleaned(rows, gram, broadcast_rows, **options).select(*docs.columns, "_rsd_spans")
     out = found.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 
@@ -103,8 +104,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20) -> DataFrame:
-    """docs with a column toxicity, from 0 to 1. The weights (at most 2**bits) go along with the task's code."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20, name: str = "toxicity") -> DataFrame:
+    """docs with a last column of that name, from 0 to 1. The weights (at most 2**bits) go along with the task's code."""
     at, w = model
     at, w = at.astype(np.int32), w.astype(np.float32)
 
@@ -118,11 +119,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = 20)
                 some = np.flatnonzero(weight)
                 pairs = np.unique(np.stack([owner[some], mark[some]]), axis=1)
                 np.add.at(logit, pairs[0] + first, table[pairs[1]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], names=[*batch.schema.names, name])
 
-    docs = docs.drop("toxicity")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, toxicity double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -134,4 +133,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold."""
     model = train(docs, labels)
-    return score(docs, model).where(F.col("toxicity") < threshold).select(*docs.columns)
+    return score(docs, model, name="_rsd_toxicity").where(F.col("_rsd_toxicity") < threshold).select(*docs.columns)
