@@ -8,11 +8,13 @@ minimum hashes, a square root of the work. A pair at similarity s meets in some
 
 Rows whose sets are equal form one class first, however many they are. Classes that meet in a table are candidates:
 
-* Each round, a class is held against one other class that it meets and isn't yet joined with: the least class of one of its
+* Shingles that no other candidate has bound what a class can share. Classes that can't reach the threshold with anything, and
+  pairs that can't with each other, are left out; the bound is exact.
+* Each round, a class is held against one other class that it meets and isn't yet joined with: the centre of one of its
   tables. So a round checks at most one pair for each class, and a group of any size is joined to few centres without listing
-  its pairs. Rounds go on while they shrink what is left.
-* What then is left, classes of different components that meet in a table, is listed pair by pair in bounded blocks by table
-  until every such pair has been checked. No candidate is dropped.
+  its pairs. Rounds go on while they halve what is left.
+* What then is left, classes of different components that meet in a table and pass the bound, is checked pair by pair in
+  bounded blocks of tables. No candidate is dropped.
 
 A pair is linked if 100 * intersection >= percent * union of the full sets (64-bit shingle hashes).
 
@@ -177,20 +179,31 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, wid
     chosen = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
     full, _ = settle(_shingle_rows(rows.join(chosen, KEY).select("id", "text")), "near-full")
 
+    # a shingle that no other candidate has lies in no intersection: with r of them, at most min(n - r, n' - r') are shared
+    lone = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    own = full.select("id", F.size("shingles").alias("n")).join(lone.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left").select("id", "n", F.coalesce("r", F.lit(0)).alias("r"))
+    own = own.where(100 * (F.col("n") - F.col("r")) >= percent * F.col("n")).drop("n")
+    tables, new = settle(tables.join(own, "id"), "near-pruned")
+    drop(spark, at_tables)
+
+    def fits(n, r, m, q):
+        most = F.least(F.col(n) - F.col(r), F.col(m) - F.col(q))
+        return 100 * most >= percent * (F.col(n) + F.col(m) - most)
+
     roots = None  # (id, root) of the classes joined so far
     links = None
     open_, turn, before = tables.withColumn("root", F.col("id")), 0, None
     while True:
-        # tables in which more than one component is left
-        mixed = open_.groupBy("t1", "t2").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "root")).alias("centre"), F.count(F.lit(1)).alias("c")).where("lo != hi")
+        # tables in which more than one component is left; the centre is first the class with fewest shingles of its own
+        first_of = F.col("r").cast("long") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        mixed = open_.groupBy("t1", "t2").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(first_of.alias("h"), "id", "n", "r", "root")).alias("centre")).where("lo != hi")
         open_, at_open = settle(open_.join(mixed.select("t1", "t2", "centre"), ["t1", "t2"]), "near-open")
         left = open_.count()
-        if not left or (before is not None and left > 0.7 * before):
+        if not left or (before is not None and left > 0.5 * before):
             break
         before = left
         # one pair for each class: the centre of one of its tables
-        fits = F.least("n", "centre.n") * 100 >= percent * F.greatest("n", "centre.n")
-        pairs = open_.where(F.col("root") != F.col("centre.root")).where(fits).groupBy("id").agg(F.min(F.struct(F.col("centre.h").alias("h"), F.col("centre.id").alias("y"))).alias("m"))
+        pairs = open_.where(F.col("root") != F.col("centre.root")).where(fits("n", "r", "centre.n", "centre.r")).groupBy("id").agg(F.min(F.struct(F.col("centre.h").alias("h"), F.col("centre.id").alias("y"))).alias("m"))
         pairs = pairs.select(F.col("id").alias("x"), F.col("m.y").alias("y"))
         found, _ = settle(_verified(pairs, full, percent), "near-links")
         links = found if links is None else links.unionByName(found)
@@ -208,12 +221,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, wid
         heavy, _ = settle(heavy, "near-heavy")
         listed = heavy.agg(F.sum((F.col("c") - F.col("most")) * F.col("c"))).first()[0]
         blocks = max(1, int(listed // block) + 1)
-        fits = F.least("nx", "ny") * 100 >= percent * F.greatest("nx", "ny")
         for k in range(blocks):
             part = open_.where(F.pmod("t1", F.lit(blocks)) == k)
-            x = part.join(heavy.select("t1", "t2", "big"), ["t1", "t2"]).where("root != big").select("t1", "t2", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            y = part.select("t1", "t2", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            pairs = x.join(y, ["t1", "t2"]).where((F.col("rx") != F.col("ry")) & fits).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+            x = part.join(heavy.select("t1", "t2", "big"), ["t1", "t2"]).where("root != big").select("t1", "t2", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("qx"), F.col("root").alias("rx"))
+            y = part.select("t1", "t2", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("qy"), F.col("root").alias("ry"))
+            pairs = x.join(y, ["t1", "t2"]).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
             found, _ = settle(_verified(pairs, full, percent), "near-links")
             links = found if links is None else links.unionByName(found)
         roots = components(links)
