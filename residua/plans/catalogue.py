@@ -11,7 +11,7 @@ from residua import constants as C
 from residua.functions import ranking, sequence as S, vectors as V
 from residua.operators import boundaries as B
 from residua.operators import cluster as K
-from residua.operators import curate, dedup, embed, graphs, joins, pooling, topology
+from residua.operators import curate, dedup, embed, encode, graphs, joins, pooling, topology
 from residua.plans import oracles as O
 from residua.session import checkpointed
 from residua.sources import tables as T
@@ -620,3 +620,53 @@ def q63_repaired_graphs(spark, sf_dir):
 @query(f"WITH {O.RESIDUES}, s AS (SELECT *, count(*) OVER (PARTITION BY graph_id) AS n, lead(idx) OVER (PARTITION BY graph_id ORDER BY idx) AS dst FROM residues) SELECT graph_id, idx AS src, dst FROM s WHERE n <= 10 AND dst IS NOT NULL")
 def q64_rescue_paths(spark, sf_dir):
     return graphs.path_graph(T.residues(spark, sf_dir)).select("graph_id", "src", "dst")
+
+
+# ---- encoded graphs ----
+
+
+@query(f"WITH {O.EDGES}, s AS (SELECT graph_id, string_agg(aa, '' ORDER BY idx) AS sequence, count(*)::INT AS n_nodes FROM residues GROUP BY graph_id) SELECT graph_id, sequence, n_nodes, e.n::INT AS n_edges FROM s JOIN (SELECT graph_id, count(*) AS n FROM edges GROUP BY graph_id) e USING (graph_id)")
+def q65_encoded_graphs(spark, sf_dir):
+    rows = T.residues(spark, sf_dir)
+    return encode.encoded(graphs.nodes(rows), graphs.edges(rows)).select("graph_id", "sequence", "n_nodes", "n_edges")
+
+
+@query(f"WITH {O.PLACED}, {O.NODES}, g AS (SELECT graph_id, idx, aa, substr('{C.SUBSTITUTION_ORDER}', list_position(b, list_max(b))::INT, 1) AS guess FROM nodes JOIN blosum USING (aa)) SELECT graph_id, string_agg(guess, '' ORDER BY idx) AS sequence, count(*) AS n_nodes FROM g GROUP BY graph_id")
+def q66_sequence_by_substitution(spark, sf_dir):
+    rows = encode.residue_by_substitution(graphs.nodes(T.residues(spark, sf_dir)))
+    return encode.sequence_of(rows.select("graph_id", "idx", F.col("guess").alias("aa")))
+
+
+@query(f"""WITH {O.RESIDUES}, c AS (SELECT *, plddt >= CASE WHEN count(*) OVER (PARTITION BY graph_id) <= 10 THEN 90 ELSE 70 END AS ok, idx % 3 = 0 AS placed, count(*) OVER (PARTITION BY graph_id) AS n FROM residues),
+    k AS (SELECT *, count(*) FILTER (ok AND placed) OVER g AS a, count(*) FILTER (ok) OVER g AS b FROM c WINDOW g AS (PARTITION BY graph_id)),
+    s AS (SELECT *, CASE WHEN n > 10 OR a >= 2 THEN 1 WHEN b >= 2 THEN 2 ELSE 3 END AS stage FROM k)
+    SELECT graph_id, stage, count(*) AS n FROM s WHERE CASE WHEN stage = 1 THEN ok AND placed ELSE ok END GROUP BY graph_id, stage""")
+def q67_relaxed_filter(spark, sf_dir):
+    size = F.count(F.lit(1)).over(Window.partitionBy("graph_id"))
+    rows = T.residues(spark, sf_dir).withColumn("ok", F.col("plddt") >= F.when(size <= 10, F.lit(90)).otherwise(F.lit(70)))
+    return encode.relaxed(rows, F.col("ok"), F.col("idx") % 3 == 0).groupBy("graph_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {O.SEQS}, c AS (SELECT doc_id, seq FROM seqs WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM c) THEN 'id' WHEN md5(seq) IN (SELECT md5(seq) FROM c) THEN 'hash' ELSE 'compute' END AS origin FROM seqs")
+def q68_embedding_lookup(spark, sf_dir):
+    seqs = T.sequences(spark, sf_dir).select(F.col("doc_id").alias("id"), "seq")
+    cache = seqs.join(T.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return encode.looked_up(seqs, cache).select(F.col("id").alias("doc_id"), "origin")
+
+
+@query(f"""WITH {_VIEWS}, p AS (SELECT a.batch, list_distance(a.g, b.g) AS da, list_distance(a.s, b.s) AS db FROM u a JOIN u b ON a.batch = b.batch),
+    q AS (SELECT batch, da / (max(da) OVER (PARTITION BY batch) + 1e-8) AS da, db / (max(db) OVER (PARTITION BY batch) + 1e-8) AS db FROM p) SELECT batch, round(avg((da - db) ** 2), 5) AS structure_loss FROM q GROUP BY batch""")
+def q69_structure_loss(spark, sf_dir):
+    return encode.structure_loss(_views(spark, sf_dir), "g", "s").select("batch", F.round("structure_loss", 5).alias("structure_loss"))
+
+
+@query()
+def q70_graph_latents(spark, sf_dir):
+    rows = T.residues(spark, sf_dir)
+    latents = encode.graph_latents(encode.encoded(graphs.nodes(rows), graphs.edges(rows)))
+    return latents.select("graph_id", F.posexplode("latent").alias("dim", "value")).withColumn("value", F.round("value", 4))
+
+
+@query()
+def q71_principal_components(spark, sf_dir):
+    return encode.principal(T.table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", F.round(F.abs(F.col("components")[0]), 4).alias("pc1"), F.round(F.abs(F.col("components")[1]), 4).alias("pc2"))
