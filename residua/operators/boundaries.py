@@ -83,10 +83,10 @@ def fragments(chains: DataFrame, boundaries: DataFrame, longest: int = 50, least
 
 
 def random_windows(n: Column, seed: Column, longest: int = 50, least: int = 20) -> Column:
-    """Windows of seeded lengths from least to longest and seeded steps, until the end is reached."""
+    """Windows of seeded lengths from least to longest, at seeded steps of half of least to least, until the end is reached."""
 
     def turn(done: Column, k: Column) -> Column:
-        start = F.when(F.size(done) == 0, F.lit(0)).otherwise(F.element_at(done, -1)["start"] + F.lit(least // 2) + F.pmod(F.xxhash64(seed, k, F.lit("step")), F.lit(least)).cast("int"))
+        start = F.when(F.size(done) == 0, F.lit(0)).otherwise(F.element_at(done, -1)["start"] + F.lit(least // 2) + F.pmod(F.xxhash64(seed, k, F.lit("step")), F.lit(least // 2 + 1)).cast("int"))
         size = F.lit(least) + F.pmod(F.xxhash64(seed, k, F.lit("size")), F.lit(longest - least + 1)).cast("int")
         ended = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= n)
         return F.when(ended | (start >= n), done).otherwise(F.concat(done, F.array(F.struct(start.alias("start"), F.least(start + size, n).alias("end")))))
