@@ -170,7 +170,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, wid
     half = classes.select("id", "n_shingles", "b", F.posexplode("a").alias("i", "ka"))
     met = half.groupBy("i", "ka").count().where("count > 1").drop("count")
     keys = half.join(met, ["i", "ka"]).select("id", F.col("n_shingles").alias("n"), "i", "ka", F.posexplode("b").alias("j", "kb"))
-    keys = keys.select("id", "n", F.xxhash64("i", "ka", "j", "kb").alias("t1"), F.hash("i", "ka", "j", "kb").alias("t2"))
+    keys = keys.select("id", "n", "i", "j", F.xxhash64("i", "ka", "j", "kb").alias("t1"), F.hash("i", "ka", "j", "kb").alias("t2"))
     shared = keys.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     tables, at_tables = settle(keys.join(shared, ["t1", "t2"]), "near-tables")
 
@@ -221,11 +221,14 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, wid
         heavy, _ = settle(heavy, "near-heavy")
         listed = heavy.agg(F.sum((F.col("c") - F.col("most")) * F.col("c"))).first()[0]
         blocks = max(1, int(listed // block) + 1)
+        # a pair that meets in several tables is listed in the first of them alone
+        halves = classes.select("id", "a", "b")
+        first = lambda c: F.array_position(F.zip_with(f"{c}x", f"{c}y", lambda p, q: p == q), F.lit(True)) - 1
         for k in range(blocks):
-            part = open_.where(F.pmod("t1", F.lit(blocks)) == k)
-            x = part.join(heavy.select("t1", "t2", "big"), ["t1", "t2"]).where("root != big").select("t1", "t2", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("qx"), F.col("root").alias("rx"))
-            y = part.select("t1", "t2", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("qy"), F.col("root").alias("ry"))
-            pairs = x.join(y, ["t1", "t2"]).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+            part = open_.where(F.pmod("t1", F.lit(blocks)) == k).join(halves, "id")
+            x = part.join(heavy.select("t1", "t2", "big"), ["t1", "t2"]).where("root != big").select("t1", "t2", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("qx"), F.col("root").alias("rx"), "i", "j", F.col("a").alias("ax"), F.col("b").alias("bx"))
+            y = part.select("t1", "t2", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("qy"), F.col("root").alias("ry"), F.col("a").alias("ay"), F.col("b").alias("by"))
+            pairs = x.join(y, ["t1", "t2"]).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy") & (first("a") == F.col("i")) & (first("b") == F.col("j"))).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
             found, _ = settle(_verified(pairs, full, percent), "near-links")
             links = found if links is None else links.unionByName(found)
         roots = components(links)
