@@ -4,7 +4,8 @@ A row's set holds the distinct 5-word shingles of its whole text (words as in te
 shorter text is one shingle). Two small collections of `width` hashes, `bands` groups each, are computed; table key (i, j)
 joins group i of the first with group j of the second. So bands**2 tables of 2 * width hashes come from 2 * bands * width
 minimum hashes, a square root of the work. A pair at similarity s meets in some table with probability
-(1 - (1 - s**width)**bands)**2: over 0.9997 at s = 0.85 with the defaults.
+(1 - (1 - s**width)**bands)**2. Where no bands are given, they are the least with which a pair at the threshold is missed with
+a chance under MISS: 12 at 85 percent, 17 at 80. op2 links at PERCENT, the corpus pipeline's stage at STAGE_PERCENT.
 
 Rows whose sets are equal form one class first, however many they are. Classes that meet in a table are candidates:
 
@@ -35,12 +36,20 @@ from . import textkit as tk
 from .common import FILE, KEY, ROW, drop, keyed, settle
 
 U = np.uint64
-BANDS, WIDTH, PERCENT = 12, 4, 85
+WIDTH, PERCENT, STAGE_PERCENT, MISS = 4, 85, 80, 3e-4
 _rng = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _rng.integers(0, 1 << 63, 4096, dtype=U) * U(2) + U(1)
 _PLACES = (0x9AE16A3B2F90404F, 0xC949C7DEFE8B9F2B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
+def bands_for(percent: int, width: int = WIDTH, miss: float = MISS) -> int:
+    """The least bands with which a pair at percent is missed with a chance under miss."""
+    met, bands = (percent / 100) ** width, 1
+    while 1 - (1 - (1 - met) ** bands) ** 2 >= miss:
+        bands += 1
+    return bands
+
+
 def shingles(column: pa.Array, size: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, distinct shingle hashes ordered by text, bounds of each text among them)."""
     for at, end, data, offsets in tk.slices(column):
@@ -152,12 +161,13 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         mark = now
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, width: int = WIDTH, block: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = None, width: int = WIDTH, block: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """KEY, doc_id, n_shingles, component_id and kept of every row of docs.
 
     block bounds the pairs that are listed at a time once rounds no longer help.
     """
     spark = docs.sparkSession
+    bands = bands or bands_for(percent, width)
     rows = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *KEY)
     sets, _ = settle(_sets(rows, bands, width), "near-sets")
 
@@ -253,11 +263,11 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, wid
 
 def near_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    return near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_groups(docs, PERCENT).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component."""
+def near_dedup(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
+    """docs with one row of each component of rows linked at percent."""
     rows = keyed(docs)
-    gone = near_groups(rows).where(~F.col("stays")).select(*KEY)
+    gone = near_groups(rows, percent).where(~F.col("stays")).select(*KEY)
     return rows.join(gone, KEY, "left_anti").select(*docs.columns)
