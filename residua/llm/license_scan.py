@@ -1,8 +1,11 @@
 """License scans: a trained paragraph classifier over sparse word n-grams, confirmed against templates.
 
-Paragraphs are the lines of a text. The classifier is multinomial logistic regression over word pairs and triples, trained
+Paragraphs end at blank lines (or such with comment marks alone) and at a line that ends a sentence; other lines are taken as
+wrapped and are joined with the next, so that no n-gram is lost at the break. The classifier is multinomial logistic regression over word pairs and triples, trained
 here on licence notices (templates, also with words of prose around them and with words lost) against prose about the same
-words. A paragraph without any word of LICENCE_WORDS is "unknown", the class of the intercepts, without being read further.
+words. Every paragraph is read: its n-grams are joined with the weights, after a
+pattern has taken the runs of words that occur in weighted n-grams, which loses none of them. One without a weighted n-gram is
+"unknown", the class of the intercepts.
 Probabilities are calibrated by a temperature, and the unknown class by the least probability that a prediction needs, both
 fitted on a held-out part of the training set. A prediction counts as confirmed if one template of its family has most of its
 word pairs in the paragraph.
@@ -24,11 +27,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, settle
+from .common import KEY, keyed
 
 UNKNOWN = "unknown"
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
-#: A paragraph is read by the classifier if it has one of these.
+#: Where a paragraph ends. The class in the first part holds blanks and comment marks.
+BREAK = r"\n(?:[\s#*/;|>-]*\n|(?<=[.!?][\"')\]]{0,3}[ \t\r]{0,8}\n))"
+#: Not used as filler in the training examples.
 LICENCE_WORDS = r"licen|copyright|copyleft|warrant|redistribut|permission|public domain|creative commons"
 
 # Short notices by which common licences are named.
@@ -144,6 +149,10 @@ def classifier() -> Classifier:
     return _trained[0]
 
 
+def paragraphs_of(text: Column) -> Column:
+    return F.split(text, BREAK)
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -153,6 +162,15 @@ def grams_of(words: Column, n: int) -> Column:
     return F.when(many > 0, F.transform(F.sequence(F.lit(1), many), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def runs_of(vocabulary) -> str:
+    """A pattern of the runs of two and more words of weighted n-grams, in words joined by a blank. All such n-grams lie in a run."""
+    tails: dict[str, list[str]] = {}
+    for word in sorted({w for gram in vocabulary for w in gram.split(" ")}):
+        tails.setdefault(word[0], []).append(re.escape(word[1:]))
+    word = "(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(t)})" for c, t in tails.items()) + ")(?![^ ])"
+    return f"(?<![^ ]){word}(?: {word})++"
+
+
 def license_paragraphs(rows: DataFrame) -> DataFrame:
     """KEY, paragraph, family, probability and confirmed of the paragraphs of keyed rows that name a licence."""
     spark, model = rows.sparkSession, classifier()
@@ -161,23 +179,24 @@ def license_paragraphs(rows: DataFrame) -> DataFrame:
     pairs = [(f, sorted({" ".join(w[i : i + 2]) for w in [re.findall(WORD, t.lower())] for i in range(len(w) - 1)})) for f, own in TEMPLATES.items() for t in own]
     templates = spark.createDataFrame(pairs, "family string, template array<string>")
 
-    lines = rows.where(F.lower("text").rlike(LICENCE_WORDS)).select(*KEY, F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.lower("line").rlike(LICENCE_WORDS)).withColumn("words", words_of(F.col("line")))
-    lines = lines.withColumn("pairs", F.array_distinct(grams_of(F.col("words"), 2))).withColumn("triples", F.array_distinct(grams_of(F.col("words"), 3)))
-    lines, _ = settle(lines.select(*KEY, "paragraph", "pairs", "triples"), "license-lines")
-
-    found = lines.select(*KEY, "paragraph", F.explode(F.concat("pairs", "triples")).alias("gram")).join(F.broadcast(weights), "gram")
+    # outer, since the others are given filters for which all is computed twice; a null n-gram meets no weight
+    lines = rows.select(*KEY, F.posexplode_outer(paragraphs_of(F.col("text"))).alias("paragraph", "line")).withColumn("line", F.array_join(words_of(F.col("line")), " "))
+    lines = lines.withColumn("runs", F.regexp_extract_all("line", F.lit(runs_of(model.vocabulary)), F.lit(0)))
+    lines = lines.withColumn("runs", F.transform("runs", lambda r: F.split(r, " ")))
+    grams = F.array_distinct(F.flatten(F.transform("runs", lambda w: F.concat(grams_of(w, 2), grams_of(w, 3)))))
+    found = lines.select(*KEY, "paragraph", F.explode_outer(grams).alias("gram")).join(F.broadcast(weights), "gram")
     sums = [F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(model.names))]
-    scored = found.groupBy(*KEY, "paragraph").agg(*sums)
+    # templates are training examples, so their pairs are among the weighted n-grams
+    scored = found.groupBy(*KEY, "paragraph").agg(*sums, F.collect_set("gram").alias("grams"))
     logits = F.array(*((F.col(f"s{k}") + float(model.bias[k])) / model.temperature for k in range(len(model.names))))
     top = F.array_max("logits")
-    scored = scored.select(*KEY, "paragraph", logits.alias("logits")).select(
-        *KEY, "paragraph", F.element_at(F.array(*map(F.lit, model.names)), F.array_position("logits", top).cast("int")).alias("family"),
+    scored = scored.select(*KEY, "paragraph", "grams", logits.alias("logits")).select(
+        *KEY, "paragraph", "grams", F.element_at(F.array(*map(F.lit, model.names)), F.array_position("logits", top).cast("int")).alias("family"),
         (1 / F.aggregate(F.transform("logits", lambda z: F.exp(z - top)), F.lit(0.0), lambda a, b: a + b)).alias("probability"),
     )
     named = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") > model.least))
-    checked = named.join(lines.select(*KEY, "paragraph", "pairs"), [*KEY, "paragraph"]).join(F.broadcast(templates), "family")
-    covers = F.size(F.array_intersect("pairs", "template")) >= 0.8 * F.size("template")
+    checked = named.join(F.broadcast(templates), "family")
+    covers = F.size(F.array_intersect("grams", "template")) >= 0.8 * F.size("template")
     return checked.groupBy(*KEY, "paragraph", "family", "probability").agg(F.max(covers).alias("confirmed"))
 
 
@@ -191,7 +210,7 @@ def license_report(docs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_licence_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.max(F.struct(F.round("probability", 6).alias("probability"), (-F.col("paragraph")).alias("back"), F.col("family"), F.col("confirmed"))).alias("top"),
     )
-    every = rows.select(*KEY, "doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n_paragraphs"))
+    every = rows.select(*KEY, "doc_id", F.size(paragraphs_of(F.col("text"))).alias("n_paragraphs"))
     return every.join(own, KEY, "left").select(
         "doc_id", "n_paragraphs", F.coalesce("n_licence_paragraphs", F.lit(0)).alias("n_licence_paragraphs"), F.coalesce("families", F.lit("")).alias("families"),
         F.coalesce("top.family", F.lit(UNKNOWN)).alias("family"), F.coalesce("top.probability", F.lit(0.0)).alias("probability"), F.coalesce("top.confirmed", F.lit(False)).alias("confirmed"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -247,6 +248,27 @@ def test_licences(spark, edge, empty):
     assert license_scan.license_report(edge).count() == edge.count() and license_scan.license_report(empty).count() == 0
 
 
+def test_licences_in_wrapped_lines_and_without_licence_words(spark):
+    model = license_scan.classifier()
+    texts = [
+        (1, "Prose here.\n\n# This Source Code Form is subject to the terms of the Mozilla Public\n# License, version 2.0.\n#\n# More prose"),
+        (2, "Redistribution and use in source and binary\nforms, with or without modification, are\npermitted."), (3, "under the terms of the GNU General Public"),
+        (4, "This Source Code Form is subject to the terms of the Mozilla Public"), (5, "Released under the MIT"), (6, "He walked\n\n\nto work"), (7, "\n" * 200_000 + "the MIT\nLicense"),
+    ]
+    rows = {r.doc_id: r for r in license_scan.license_report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [(rows[k].family, rows[k].confirmed, rows[k].n_paragraphs) for k in (1, 2)] == [("mpl", True, 3), ("bsd", True, 1)]
+    assert rows[6].n_paragraphs == 2
+    # every paragraph is classed as the model classes it
+    for k, text in texts:
+        words = [re.findall(license_scan.WORD, p.lower()) for p in re.split(r"\n[\s#*/;|>-]*\n|(?<=[.!?])\n", text)]
+        p = model._softmax((model._matrix([(w, "") for w in words]) @ model.weights + model.bias) / model.temperature)
+        best = max(((p[j].max(), model.names[p[j].argmax()]) for j in range(len(words)) if p[j].argmax() < len(model.names) - 1 and p[j].max() > model.least), default=(0.0, "unknown"))
+        assert (rows[k].family, round(rows[k].probability, 5)) == (best[1], round(best[0], 5))
+    assert rows[4].family == "mpl" and not re.search(license_scan.LICENCE_WORDS, texts[3][1].lower())
+    pairs = {" ".join(w[i : i + 2]) for own in license_scan.TEMPLATES.values() for t in own for w in [re.findall(license_scan.WORD, t.lower())] for i in range(len(w) - 1)}
+    assert pairs <= set(model.vocabulary)
+
+
 def test_licence_classifier_on_held_out_examples():
     model = license_scan.classifier()
     held = license_scan._examples(3)
