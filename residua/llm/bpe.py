@@ -1,18 +1,25 @@
 """Byte-level BPE ids from a tokenizers JSON file, merged by tiktoken's engine, which gives the same ids several times faster.
 
 The ranks are read from the JSON's own vocabulary and merges; load() refuses a file in which a merge's rank and its id differ,
-since only then do both engines agree.
+since only then do both engines agree. A text with a run of LONGEST blanks, letters, digits or other signs is encoded by the
+tokenizers library itself: tiktoken's pattern overflows its stack on runs of about a million blanks.
+
+Added tokens that stand in a text, such as <|endoftext|>, are encoded as ordinary text (encode_special_tokens).
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import tiktoken
+from tokenizers import Tokenizer
 
 # Fixed value: the public byte-level pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONGEST = 100_000
+LONG_RUN = re.compile(rf"\s{{{LONGEST}}}|[^\W\d_]{{{LONGEST}}}|\d{{{LONGEST}}}|[^\w\s]{{{LONGEST}}}|_{{{LONGEST}}}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -36,6 +43,8 @@ class ByteBpe:
             if model["vocab"][left + right] != 256 + k:
                 raise ValueError(f"{path}: merge {k} has another id than its rank")
         self.engine = tiktoken.Encoding("residua", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, n in ranks.items():
             self.lengths[n] = len(token)
@@ -48,7 +57,11 @@ class ByteBpe:
         return cls._loaded[path]
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.asarray(self.engine.encode_ordinary(text), dtype=np.uint32) if text else np.zeros(0, np.uint32)
+        if not text:
+            return np.zeros(0, np.uint32)
+        if len(text) >= LONGEST and LONG_RUN.search(text):
+            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.asarray(self.engine.encode_ordinary(text), dtype=np.uint32)
 
     def byte_ends(self, ids: np.ndarray) -> np.ndarray:
         """Where each token ends, in UTF-8 bytes of the text."""

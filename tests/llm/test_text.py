@@ -118,6 +118,14 @@ def test_ids_are_those_of_the_library(docs, edge):
         assert own.ids(text).tolist() == theirs.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "a" + "\n" * 1_000_001, "a" * 120_000 + " b"])
+def test_ids_of_very_long_runs(text):
+    own, theirs = bpe.ByteBpe.load(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    ids = own.ids(text)
+    assert ids.tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert own.byte_ends(ids)[-1] == len(text.encode())
+
+
 def check_packing(rows, texts, size):
     own = bpe.ByteBpe.load(VOCABULARY)
     places: dict[int, list] = {}
