@@ -46,6 +46,19 @@ def hybrid_similarity(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
 
 
+def hybrid_reach(threshold: float) -> tuple[int, int, float]:
+    """(start, length, distance) of the slice in which vectors above the threshold are held closest together.
+
+    The slice alone may cost the sum no more than what lies between all weights and the threshold.
+    """
+    spare = sum(w for *_, w in C.VECTOR_SLICES) - threshold
+    bounds = [(scale * spare / (w - spare) * (1 + 1e-9), start, n) for _, start, n, scale, w in C.VECTOR_SLICES if w > spare + 1e-9]
+    if not bounds:
+        raise ValueError("no slice weighs enough to bound a pair at this threshold")
+    reach, start, n = min(bounds)
+    return start, n, reach
+
+
 def one_hot(code: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (k == code).cast("int"))
 

@@ -69,6 +69,35 @@ def test_graph_dedup_strikes_out_partners(spark):
     assert {r.id for r in cluster.greedy_unmarked(items, both).collect()} == {1, 3, 6, 7}
 
 
+def test_similar_pairs_are_all_pairs(spark):
+    """Partners with far ids, and a group of more than 100, against a plain loop."""
+    import numpy as np
+
+    from residua import constants as C
+    from residua.operators import cluster
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 85))
+    # partners of row k at 100,000 + k, at all distances about the threshold, and 130 near copies of row 0
+    far = base + rng.normal(size=base.shape) * np.linspace(0.01, 1.2, 30)[:, None]
+    vectors = {**dict(enumerate(base)), **{100_000 + k: v for k, v in enumerate(far)}, **{1000 + k: base[0] + rng.normal(size=85) * 0.01 for k in range(130)}}
+    vectors[7] = vectors[7][:73]
+
+    def sim(a, b):
+        out = 0.0
+        for _, start, n, scale, weight in C.VECTOR_SLICES:
+            x, y = a[start : start + n], b[start : start + n]
+            some = min(len(x), len(y))
+            out += weight / (1 + (np.linalg.norm(x[:some] - y[:some]) if some else 1.0) / scale)
+        return out
+
+    want = {(i, j) for i, a in vectors.items() for j, b in vectors.items() if i != j and sim(a, b) > 0.85}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id long, v array<double>")
+    got = cluster.similar_pairs(frame).select("i", "j").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert len(want) > 130 * 129 and any(abs(i - j) == 100_000 for i, j in want)
+
+
 def test_path_report(spark):
     from residua.operators import topology
 
