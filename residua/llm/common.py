@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +12,21 @@ from pyspark.sql import functions as F
 
 FILE, ROW = "_rsd_file", "_rsd_row"
 KEY = [FILE, ROW]
+#: A key with over 1 / SHARES of a join's rows is split.
+SHARES = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; only where it is unset, one of our own."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names in spark.checkpoint.dir, or the one set on the context.
+
+    Only a local session without either gets a folder of its own; on a cluster that would be one machine's.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir() or getattr(context, "_residua_scratch", None)
     if not root:
-        root = getattr(spark.sparkContext, "_residua_scratch", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="residua-")
-            spark.sparkContext._residua_scratch = root
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        root = context._residua_scratch = "file://" + tempfile.mkdtemp(prefix="residua-")
     return root.rstrip("/")
 
 
@@ -59,14 +64,37 @@ def keyed(docs: DataFrame) -> DataFrame:
     docs = docs.drop(*KEY)
     try:
         return put(docs)
-    except AnalysisException:
+    except AnalysisException as e:
+        if "_metadata" not in str(e):
+            raise
         return put(settle(docs, "input")[0])
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def guarded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs whose columns don't clash with those of the operators, and the way back to their names."""
+    names = docs.columns
+    return docs.toDF(*(f"own{k}{c}" if c.lower().startswith("_rsd_") else c for k, c in enumerate(names))), lambda out: out.toDF(*names)
+
+
+def heavy_keys(counts: DataFrame, on: list[str], n: str, shares: int = SHARES) -> tuple[DataFrame, int]:
+    """Keys that hold over 1 / shares of all rows, with the parts into which each is to be split, and the rows in all.
 
+    counts has one row for each key and its number n of rows, so at most `shares` keys come out, whatever the data.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    share = max(1, total // shares)
+    return counts.where(F.col(n) > share).select(*on, F.ceil(F.col(n) / share).cast("int").alias("_rsd_parts")), total
+
+
+def spread_join(large: DataFrame, small: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """Inner join of large with small, which has each key once. The rows of heavy keys are split, and their row in small goes to each part."""
+    heavy = F.broadcast(heavy)
+    part = F.when(F.col("_rsd_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*large.columns), F.col("_rsd_parts"))).cast("int")
+    large = large.join(heavy, on, "left").withColumn("_rsd_part", part).drop("_rsd_parts")
+    parts = F.sequence(F.lit(0), F.coalesce("_rsd_parts", F.lit(1)) - 1)
+    small = small.join(heavy, on, "left").withColumn("_rsd_part", F.explode(parts)).drop("_rsd_parts")
+    return large.join(small, [*on, "_rsd_part"]).drop("_rsd_part")
 
-def parts_for(rows: int, per_part: int, least: int = 1) -> int:
-    """Partitions that keep a task's share of rows fixed while the data grow."""
-    return max(least, -(-rows // per_part))
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,21 +6,24 @@ the ends of a text and are judged on the input.
 1. Anchors. Each window of `gram` bytes picks its least `anchor`-byte hash (ties: the leftmost). Equal windows pick the same
    anchor at the same place, so equal windows meet under one anchor hash. Consecutive windows with one anchor form a context:
    the bytes that those windows cover. Anchor hashes that occur once can't lie in a repeat, and go.
-2. Classes. Contexts that are equal form a class; with two members all their windows repeat. Where an anchor has several
-   classes, one context of each goes on.
+2. Classes. Contexts that are equal by a 128-bit BLAKE2b digest of their bytes form a class; with two members all their windows
+   repeat. Where an anchor has several classes, one context of each goes on.
 3. Shards. Contexts are dealt out by anchor hash; a shard joins them with a separator into one text, whose suffix array is
    built by induced sorting: suffixes are classified, the leftmost-smaller (LMS) substrings sorted by induction and named, the
    reduced text is sorted recursively, and its order induces the shard's array. Permuted common prefixes come from the
    predecessors in that array: only irreducible ones are compared, the others are one less than their left neighbour's. A
    window repeats if it shares `gram` bytes with a neighbour in the array.
-4. Anchors with more than `hot` classes aren't put in one shard: each window of their contexts is named by a 128-bit hash and
-   counted with map-side combining, which is exact however many there are.
+4. An anchor whose contexts would overfill a shard is split by more context: its windows fall into ranges by the place of the
+   anchor in them, and the windows of a range have more bytes in common than the anchor, by which they are dealt out anew, as
+   in 2 and 3. The ranges of WIDTHS narrow down to one window, which is a class by itself, so any number of contexts is settled
+   in shards of bounded size.
 
 Induction works bucket by bucket on whole arrays, so NumPy does in bulk what the scan does one by one; a reduced text whose
 alphabet is about as large as itself is ranked by doubling, as buckets of one entry gain nothing.
 
 Defined cases: null texts count as empty; texts shorter than `gram` are kept whole. Repeated rows repeat each other, whatever
-their doc_id. Removal works on bytes; where a text is needed again, bytes of a character that was cut in two are left out.
+their doc_id. An empty table gives no rows. A very long text is hashed whole, in arrays of its own length; its contexts are dealt
+out like any others. Other columns, whatever their names, pass through. Removal works on bytes; where a text is needed again, bytes of a character that was cut in two are left out.
 """
 
 from __future__ import annotations
@@ -30,14 +33,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import FILE, KEY, ROW, keyed, settle
+from .common import FILE, KEY, ROW, drop, guarded, heavy_keys, keyed, settle, spread_join
 
 U = np.uint64
-GRAM, ANCHOR, SHARD_BYTES, HOT = 200, 50, 4 << 20, 20_000
+GRAM, ANCHOR, SHARD_BYTES = 200, 50, 1 << 20
+#: Places of the anchor that a range of windows spans, where an anchor is split.
+WIDTHS = (38, 10, 1)
 _STEP, _MASK = 1 << 20, U((1 << 21) - 1)
 
 
@@ -46,8 +51,8 @@ _STEP, _MASK = 1 << 20, U((1 << 21) - 1)
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next (S-type); t ends with a least, single symbol."""
-    rise = np.sign(t[1:].astype(np.int64) - t[:-1])
-    at = np.arange(len(rise))
+    rise = np.sign(t[1:].astype(np.int32) - t[:-1]).astype(np.int8)
+    at = np.arange(len(rise), dtype=np.int32)
     at[rise == 0] = len(rise)
     at = np.minimum.accumulate(at[::-1])[::-1]
     return np.append(rise[np.minimum(at, len(rise) - 1)] > 0, True)
@@ -140,7 +145,7 @@ def induced_sort(t: np.ndarray, symbols: int) -> np.ndarray:
     order = _induce(t, s_type, by_symbol, symbols)
     order = order[is_lms[order]]
     # name the LMS substrings: equal ones share a name
-    follow = np.zeros(n, np.int64)
+    follow = np.zeros(n, np.int32)
     follow[lms] = np.append(lms[1:], n - 1)
     size = follow[order] - order + 1
     differ = np.append(True, size[1:] != size[:-1])
@@ -169,19 +174,19 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
 def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each position, the length it shares with the suffix before it in the array."""
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     free = before >= 0
     left_differs = np.ones(n, bool)
     both = (at > 0) & (before > 0)
     left_differs[both] = data[at[both] - 1] != data[before[both] - 1]
-    compare = np.flatnonzero(free & left_differs)
+    compare = np.flatnonzero(free & left_differs).astype(np.int32)
     words = np.zeros(n + 16, np.uint8)
     words[:n] = data
     words = np.lib.stride_tricks.as_strided(words, (n + 8, 8), (1, 1))
     # eight bytes at a time; past the end two different zero runs can agree, so lengths are held to the text below
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     a, b, own, k = compare, before[compare], compare, 0
     while len(own):
         x, y = np.minimum(a + k, n), np.minimum(b + k, n)
@@ -217,15 +222,20 @@ def repeated_starts(texts: list[bytes], gram: int) -> list[np.ndarray]:
 # ---- anchors ----
 
 
+def digests(parts) -> np.ndarray:
+    """128 bits for each (number, bytes), as two longs."""
+    made = (hashlib.blake2b(body, digest_size=16, salt=b"%d" % k).digest() for k, body in parts)
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray, gram: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor hash, context hash) of the contexts of some texts."""
+    """(text, first window, windows, place of the anchor in the first window, anchor hash, digests) of the contexts of some texts."""
     n = np.maximum(np.diff(offsets) - gram + 1, 0)
     text = np.repeat(np.arange(len(n)), n)
     if not len(text):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(U), z.view(U)
-    sums = tk.SpanHash(data)
-    marks = sums.windows(anchor)
+        return z, z, z, z, z.view(U), np.zeros((0, 2), np.int64)
+    marks = tk.SpanHash(data).windows(anchor)
     width = gram - anchor + 1
     picked = np.empty(len(data) - gram + 1, np.int64)
     for s in range(0, len(picked), _STEP):
@@ -242,24 +252,33 @@ def contexts(data: np.ndarray, offsets: np.ndarray, gram: int, anchor: int) -> t
     new = np.append(True, (mark[1:] != mark[:-1]) | (text[1:] != text[:-1]))
     head = np.flatnonzero(new)
     lo, span, mark = start[head], np.diff(np.append(head, len(start))), mark[head]
-    c = sums.of(lo, lo + span - 1 + gram)
-    c = tk.mix(c + (mark - lo).astype(U) * U(0x9E3779B97F4A7C15) + span.astype(U) * U(0xC2B2AE3D27D4EB4F))
-    return text[head], lo - offsets[:-1][text[head]], span, marks[mark], c
+    raw = memoryview(np.ascontiguousarray(data))
+    named = digests(zip(mark - lo, (raw[a:b] for a, b in zip(lo.tolist(), (lo + span - 1 + gram).tolist()))))
+    return text[head], lo - offsets[:-1][text[head]], span, mark - lo, marks[mark], named
+
+
+_NAMED = "h long, c long, d long"
+_PLACE = f"{FILE} long, {ROW} long, lo int, span short, mark short"
 
 
 def _contexts_of(rows: DataFrame, gram: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, _, data, offsets in tk.slices(batch["text"]):
-                text, lo, span, h, c = contexts(data, offsets, gram, anchor)
+                text, lo, span, mark, h, cd = contexts(data, offsets, gram, anchor)
                 own = pa.array(text + at)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), *(batch[k].take(own) for k in KEY), pa.array(lo.astype(np.int32)), pa.array(span.astype(np.int16))], names=["h", "c", *KEY, "lo", "span"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), *(pa.array(np.ascontiguousarray(cd[:, k])) for k in (0, 1)), *(batch[k].take(own) for k in KEY), pa.array(lo.astype(np.int32)), pa.array(span.astype(np.int16)), pa.array(mark.astype(np.int16))],
+                    names=["h", "c", "d", *KEY, "lo", "span", "mark"],
+                )
+        tk.release()
 
-    return rows.select("text", *KEY).mapInArrow(run, f"h long, c long, {FILE} long, {ROW} long, lo int, span short")
+    return rows.select("text", *KEY).mapInArrow(run, f"{_NAMED}, {_PLACE}")
 
 
 def _cut_contexts(rows: DataFrame, gram: int) -> DataFrame:
-    """rows: text, KEY and wanted, an array of (h, c, lo, span, n)."""
+    """rows: text, KEY and wanted, an array of (h, c, d, lo, span, mark, n, classes)."""
+    carried = ("h", "c", "d", "lo", "span", "mark", "n", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,9 +290,35 @@ def _cut_contexts(rows: DataFrame, gram: int) -> DataFrame:
             start = offsets[own] + lo
             body = [data[a:b].tobytes() for a, b in zip(start.tolist(), (start + span + (gram - 1)).tolist())]
             take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("h", "c", "lo", "span", "n")), *(batch[k].take(take) for k in KEY), pa.array(body, pa.binary())], names=["h", "c", "lo", "span", "n", *KEY, "body"])
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in carried), *(batch[k].take(take) for k in KEY), pa.array(body, pa.binary())], names=[*carried, *KEY, "body"])
+
+    return rows.mapInArrow(run, f"{_NAMED}, lo int, span short, mark short, n long, classes long, {FILE} long, {ROW} long, body binary")
 
-    return rows.mapInArrow(run, f"h long, c long, lo int, span short, n long, {FILE} long, {ROW} long, body binary")
+
+def _pieces(bodies: DataFrame, gram: int, anchor: int, width: int) -> DataFrame:
+    """Bodies cut into the windows of each range of places of the anchor, named by what the windows of a range share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, rows, cores, bodies = [], [], [], []
+            for k, (body, span, mark, lo) in enumerate(zip(*(batch[c].to_pylist() for c in ("body", "span", "mark", "lo")))):
+                for r in range((mark - span + 1) // width, mark // width + 1):
+                    # the anchor is at least `least` and at most `most` bytes behind the start of the range's windows
+                    least, most = r * width, min(r * width + width - 1, gram - anchor)
+                    first, last = max(0, mark - most), min(span - 1, mark - least)
+                    own.append(k)
+                    rows.append((lo + first, last - first + 1, mark - first))
+                    cores.append((least, body[mark - least : mark - most + gram]))
+                    bodies.append((mark - first, body[first : last + gram]))
+            h, cd = digests(cores)[:, 0], digests(bodies)
+            lo, span, mark = np.array(rows, np.int64).reshape(-1, 3).T
+            take = pa.array(np.array(own, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(x)) for x in (h, cd[:, 0], cd[:, 1])] + [*(batch[k].take(take) for k in KEY), pa.array(lo.astype(np.int32)), pa.array(span.astype(np.int16)), pa.array(mark.astype(np.int16)), batch["n"].take(take), pa.array([b for _, b in bodies], pa.binary())],
+                names=["h", "c", "d", *KEY, "lo", "span", "mark", "n", "body"],
+            )
+
+    return bodies.mapInArrow(run, f"{_NAMED}, {_PLACE}, n long, body binary")
 
 
 def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,63 +353,73 @@ def _shard_runs(bodies: DataFrame, gram: int, shard_bytes: int) -> DataFrame:
                 size += len(row[5]) + 1
         if held:
             yield solve()
+        tk.release()
 
     return bodies.mapInArrow(run, _SPAN)
 
 
-def _window_names(bodies: DataFrame, gram: int) -> DataFrame:
-    """Each window of some contexts by a 128-bit hash."""
+def _span() -> list[Column]:
+    return [*map(F.col, KEY), F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("span")).cast("long").alias("hi")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tk.text_bytes(batch["body"])
-            data = data[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            n = np.diff(offsets) - gram + 1
-            own = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-            start = offsets[:-1][own] + at
-            one = tk.SpanHash(data).of(start, start + gram)
-            two = tk.SpanHash(data ^ np.uint8(0xA5)).of(start, start + gram // 2)
-            three = tk.SpanHash(data ^ np.uint8(0x3C)).of(start + gram // 2, start + gram)
-            two = tk.mix(two * U(0x9E3779B97F4A7C15) + three)
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(batch[k].take(take) for k in KEY), pa.array(batch["lo"].to_numpy()[own] + at), batch["n"].take(take)], names=["w1", "w2", *KEY, "lo", "n"])
 
-    return bodies.mapInArrow(run, f"w1 long, w2 long, {FILE} long, {ROW} long, lo long, n long")
+NAME = ["h", "c", "d"]
 
 
-def repeated_spans(docs: DataFrame, gram: int = GRAM, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, hot: int = HOT, broadcast_rows: int = 500_000) -> DataFrame:
-    """KEY and spans, an array of (lo, hi): the gram at each byte from lo to hi - 1 also starts elsewhere. docs is keyed."""
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *KEY)
-    every, _ = settle(_contexts_of(rows, gram, anchor), "suffix-contexts")
-    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    some, _ = settle(every.join(again, "h"), "suffix-candidates")
+def _decided(bodies: DataFrame, gram: int, anchor: int, shard_bytes: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Repeated runs among bodies, one of each class, with the number of members n and that of the anchor's classes."""
+    most = max(1, shard_bytes // (2 * gram))  # classes of an anchor that fit a shard
+    size = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
+    # some MB for each task, until there are enough tasks; from there on tasks grow
+    tasks = max(size // (256 << 20), min(size // (4 << 20), 2000)) + 1
+    cold = bodies.where(F.col("classes") <= most).repartition(int(tasks), "h").sortWithinPartitions("h")
+    spans = _shard_runs(cold, gram, shard_bytes)
+    hot = bodies.where(F.col("classes") > most)
+    if hot.isEmpty():
+        return spans
+    pieces, _ = settle(_pieces(hot, gram, anchor, widths[0]), "suffix-pieces")
+    place = F.struct(*KEY, "lo", "span", "mark", "body")
+    classes, _ = settle(pieces.groupBy(*NAME).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min(place).alias("one")), "suffix-piece-classes")
+    heavy, _ = heavy_keys(classes, NAME, "k")
+    whole = spread_join(pieces.where("n = 1").drop("body", "n"), classes.where("n > 1").select(*NAME), NAME, heavy).select(*_span())
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    heavy, _ = heavy_keys(several, ["h"], "classes")
+    rest, _ = settle(spread_join(classes.select(*NAME, "n", "one.*"), several, ["h"], heavy), "suffix-piece-bodies")
+    spans = spans.unionByName(whole)
+    return spans if rest.isEmpty() else spans.unionByName(_decided(rest, gram, anchor, shard_bytes, widths[1:]))
 
-    place = F.struct(*KEY, "lo", "span")
-    classes = some.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
+
+def repeated_spans(docs: DataFrame, gram: int = GRAM, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, widths: tuple[int, ...] = WIDTHS, broadcast_rows: int = 500_000) -> DataFrame:
+    """KEY and spans, an array of (lo, hi): the gram at each byte from lo to hi - 1 also starts elsewhere. docs is keyed.
+
+    The last of widths is 1.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), *KEY)
+    every, at_every = settle(_contexts_of(rows, gram, anchor), "suffix-contexts")
+    again, _ = settle(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "suffix-anchors")
+    heavy, _ = heavy_keys(again, ["h"], "k")
+    some, at_some = settle(spread_join(every, again.select("h"), ["h"], heavy), "suffix-candidates")
+    drop(spark, at_every)
+
+    place = F.struct(*KEY, "lo", "span", "mark")
+    classes = some.groupBy(*NAME).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
     classes, _ = settle(classes, "suffix-classes")
-    whole = classes.where("n > 1").select("h", "c")
-    full = some.join(whole, ["h", "c"], "left_semi").select(*KEY, F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("span")).cast("long").alias("hi"))
+    heavy, _ = heavy_keys(classes, NAME, "n")
+    full = spread_join(some, classes.where("n > 1").select(*NAME), NAME, heavy).select(*_span())
 
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    heavy, _ = heavy_keys(several, ["h"], "classes")
     # a class of one row stands for itself; a class of several for its equals
-    picked = classes.join(several, "h").select("h", "c", "n", "one.*", "classes")
-    picked = picked.groupBy(*KEY).agg(F.collect_list(F.struct("h", "c", "lo", "span", "n")).alias("wanted"))
+    picked = spread_join(classes.select(*NAME, "n", "one.*"), several, ["h"], heavy)
+    picked = picked.groupBy(*KEY).agg(F.collect_list(F.struct(*NAME, "lo", "span", "mark", "n", "classes")).alias("wanted"))
     picked, _ = settle(picked, "suffix-picked")
     chosen = F.broadcast(picked.select(*KEY)) if picked.count() <= broadcast_rows else picked.select(*KEY)
-    bodies = _cut_contexts(rows.join(chosen, KEY, "left_semi").join(picked, KEY), gram)
-    bodies, _ = settle(bodies.join(several.where(F.col("classes") > hot).select("h", F.lit(True).alias("hot")), "h", "left"), "suffix-bodies")
+    bodies, at_bodies = settle(_cut_contexts(rows.join(chosen, KEY, "left_semi").join(picked, KEY), gram), "suffix-bodies")
 
-    size = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
-    shards = max(1, int(size // shard_bytes) + 1)
-    cold = bodies.where("hot is null").drop("hot").repartition(shards, "h").sortWithinPartitions("h")
-    spans = full.unionByName(_shard_runs(cold, gram, shard_bytes))
-    if not bodies.where("hot").isEmpty():
-        names, _ = settle(_window_names(bodies.where("hot").drop("hot"), gram), "suffix-windows")
-        twice = names.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-        spans = spans.unionByName(names.where("n = 1").join(twice, ["w1", "w2"]).select(*KEY, "lo", (F.col("lo") + 1).alias("hi")))
-    return spans.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = full.unionByName(_decided(bodies, gram, anchor, shard_bytes, widths))
+    spans, _ = settle(spans.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    drop(spark, at_some, at_bodies)
+    return spans
 
 
 def _kept(data: bytes, spans: np.ndarray, gram: int) -> tuple[bytes, int]:
@@ -378,7 +433,7 @@ def _kept(data: bytes, spans: np.ndarray, gram: int) -> tuple[bytes, int]:
 
 def _cleaned(docs: DataFrame, gram: int, broadcast_rows: int, **options) -> DataFrame:
     """Keyed docs with _rsd_spans, null where nothing repeats."""
-    spans, _ = settle(repeated_spans(docs, gram=gram, broadcast_rows=broadcast_rows, **options).withColumnRenamed("spans", "_rsd_spans"), "suffix-spans")
+    spans = repeated_spans(docs, gram=gram, broadcast_rows=broadcast_rows, **options).withColumnRenamed("spans", "_rsd_spans")
     n, most = spans.agg(F.count(F.lit(1)), F.sum(F.size("_rsd_spans"))).first()
     spans = F.broadcast(spans) if n + (most or 0) <= broadcast_rows else spans
     return docs.join(spans, KEY, "left")
@@ -414,6 +469,7 @@ def suffix_report(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_0
 
 def suffix_dedup(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_000, **options) -> DataFrame:
     """docs with texts without their repeated bytes; n_chars, where there is one, is counted anew."""
+    docs, named = guarded(docs)
     rows = keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,4 +484,4 @@ def suffix_dedup(docs: DataFrame, gram: int = GRAM, broadcast_rows: int = 500_00
 
     found = _cleaned(rows, gram, broadcast_rows, **options).select(*docs.columns, "_rsd_spans")
     out = found.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return named(out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out)
