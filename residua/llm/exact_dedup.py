@@ -6,7 +6,9 @@ that row and the number of rows seen. The state is then read as a table. For eve
 full normalised bytes are compared; texts that only share a digest are told apart by their bytes.
 
 Defined cases: a null text counts as empty; equal empty texts are one group. Null doc_ids sort after all others. Where equal
-texts also share the doc_id, the row with the smaller locator stays, so exactly one row of a group is kept.
+texts also share the doc_id, the row with the smaller locator stays, so exactly one row of a group is kept. An empty table
+gives no rows. Very long texts are digested whole, and only those with a hit meet again. Other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FILE, KEY, ROW, drop, keyed, scratch, settle
+from .common import FILE, KEY, ROW, guarded, heavy_keys, keyed, scratch, settle, spread_join
 
 BLANKS = r"[\x20\x09-\x0D]+"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -81,11 +83,12 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, m
     alone = prints
     if not shared.isEmpty():
         alone = prints.join(shared, "digest", "left_anti")
-    found = alone.join(state, "digest").select(*KEY, "doc_id", "digest", "first", "n")
+    heavy, _ = heavy_keys(state, ["digest"], "n")
+    found = spread_join(alone, state, ["digest"], heavy).select(*KEY, "doc_id", "digest", "first", "n")
     if not shared.isEmpty():
         mixed = rows.withColumn("digest", digest(F.col("body"))).join(shared, "digest", "left_semi")
         split = mixed.groupBy("digest", "body").agg(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n"))
-        found = found.unionByName(mixed.join(split, ["digest", "body"]).select(*KEY, "doc_id", "digest", "first", "n"))
+        found = found.unionByName(spread_join(mixed, split, ["digest", "body"], heavy_keys(split, ["digest", "body"], "n")[0]).select(*KEY, "doc_id", "digest", "first", "n"))
     return found.select(
         *KEY, "doc_id", "digest", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
         ((F.col("first.file") == F.col(FILE)) & (F.col("first.row") == F.col(ROW))).alias("kept"),
@@ -99,6 +102,7 @@ def exact_report(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts."""
+    docs, named = guarded(docs)
     rows = keyed(docs)
     gone = exact_groups(rows).where(~F.col("kept")).select(*KEY)
-    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
+    return named(rows.join(gone, KEY, "left_anti").select(*docs.columns))
