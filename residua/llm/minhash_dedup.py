@@ -20,7 +20,9 @@ Rows whose sets are equal form one class first, however many they are. Classes t
 A pair is linked if 100 * intersection >= percent * union of the full sets (64-bit shingle hashes).
 
 Defined cases: null, empty and blank texts have no shingle and are linked with nothing. Rows with equal sets are linked. A
-null doc_id takes part, and is the component's id only if no row of it has an id. Repeated rows are linked with each other.
+null doc_id takes part, and is the component's id only if no row of it has an id. Repeated rows are linked with each other. An
+empty table gives no rows. A very long text has all its shingles in one set. near_dedup passes other columns through, whatever
+their names. doc_id is read as a long, which component_id needs.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import FILE, KEY, ROW, drop, keyed, settle
+from .common import FILE, KEY, ROW, drop, guarded, heavy_keys, keyed, settle, spread_join
 
 U = np.uint64
 WIDTH, PERCENT, STAGE_PERCENT, MISS = 4, 85, 80, 3e-4
@@ -107,6 +109,7 @@ def _sets(rows: DataFrame, bands: int, width: int) -> DataFrame:
                     [sub["doc_id"], *(sub[c] for c in KEY), pa.array(n), pa.array([x.tobytes() for x in np.stack(sums, axis=1)], pa.binary()), *(pa.ListArray.from_arrays(wide, x.reshape(-1).view(np.int64)) for x in keys)],
                     names=["doc_id", *KEY, "n_shingles", "id", "a", "b"],
                 )
+        tk.release()
 
     return rows.mapInArrow(run, f"doc_id long, {FILE} long, {ROW} long, n_shingles long, id binary, a array<long>, b array<long>")
 
@@ -118,16 +121,18 @@ def _shingle_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at, end, h, bounds in shingles(batch["text"]):
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(at, end - at), pa.ListArray.from_arrays(bounds.astype(np.int32), h.view(np.int64))], names=["id", "shingles"])
+        tk.release()
 
     return rows.select("id", "text").mapInArrow(run, "id binary, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y), those that are linked."""
+    """Of pairs (x, y), those that are linked. Each pair is held against both full sets; an id in very many pairs is split."""
+    pairs, _ = settle(pairs, "near-pairs")
+    heavy = {c: heavy_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("c")), [c], "c")[0] for c in ("x", "y")}
     left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-    # no pair whose sizes alone rule it out is held against the sets: the caller has seen to that
-    both = pairs.join(left, "x").join(right, "y")
+    both = spread_join(spread_join(pairs, left, ["x"], heavy["x"]), right, ["y"], heavy["y"])
     n = F.size(F.array_intersect("sx", "sy"))
     return both.where(100 * n >= percent * (F.size("sx") + F.size("sy") - n)).select("x", "y")
 
@@ -178,11 +183,14 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = Non
 
     # a table key meets only where both its halves do: halves that are alone go before pairs are formed
     half = classes.select("id", "n_shingles", "b", F.posexplode("a").alias("i", "ka"))
-    met = half.groupBy("i", "ka").count().where("count > 1").drop("count")
-    keys = half.join(met, ["i", "ka"]).select("id", F.col("n_shingles").alias("n"), "i", "ka", F.posexplode("b").alias("j", "kb"))
+    met, _ = settle(half.groupBy("i", "ka").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-halves")
+    heavy, _ = heavy_keys(met, ["i", "ka"], "c")
+    keys = spread_join(half, met.drop("c"), ["i", "ka"], heavy).select("id", F.col("n_shingles").alias("n"), "i", "ka", F.posexplode("b").alias("j", "kb"))
     keys = keys.select("id", "n", "i", "j", F.xxhash64("i", "ka", "j", "kb").alias("t1"), F.hash("i", "ka", "j", "kb").alias("t2"))
-    shared = keys.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    tables, at_tables = settle(keys.join(shared, ["t1", "t2"]), "near-tables")
+    table = ["t1", "t2"]
+    shared, _ = settle(keys.groupBy(*table).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shared")
+    heavy, _ = heavy_keys(shared, table, "c")
+    tables, at_tables = settle(spread_join(keys, shared.drop("c"), table, heavy), "near-tables")
 
     wanted = tables.select("id").distinct()
     wanted, _ = settle(wanted.join(classes.select("id", "first"), "id").select("id", *(F.col(f"first.{c}").alias(c) for c in KEY)), "near-wanted")
@@ -206,9 +214,10 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = Non
     while True:
         # tables in which more than one component is left; the centre is first the class with fewest shingles of its own
         first_of = F.col("r").cast("long") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        mixed = open_.groupBy("t1", "t2").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(first_of.alias("h"), "id", "n", "r", "root")).alias("centre")).where("lo != hi")
-        open_, at_open = settle(open_.join(mixed.select("t1", "t2", "centre"), ["t1", "t2"]), "near-open")
-        left = open_.count()
+        mixed = open_.groupBy("t1", "t2").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(first_of.alias("h"), "id", "n", "r", "root")).alias("centre"), F.count(F.lit(1)).alias("c")).where("lo != hi")
+        mixed, _ = settle(mixed, "near-mixed")
+        heavy, left = heavy_keys(mixed, table, "c")
+        open_, _ = settle(spread_join(open_, mixed.select(*table, "centre"), table, heavy), "near-open")
         if not left or (before is not None and left > 0.5 * before):
             break
         before = left
@@ -222,23 +231,22 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = Non
         turn += 1
 
     if left:
-        # every pair that is left, in blocks of tables of about `block` pairs
         # every pair that is left. Of a table's largest component the members needn't be held against each other, so the rest
         # of the table is held against all of it, in blocks of tables of about `block` pairs
         open_ = open_.drop("centre")
         each = open_.groupBy("t1", "t2", "root").agg(F.count(F.lit(1)).alias("c"))
-        heavy = each.groupBy("t1", "t2").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("c"), F.max("c").alias("most"))
-        heavy, _ = settle(heavy, "near-heavy")
-        listed = heavy.agg(F.sum((F.col("c") - F.col("most")) * F.col("c"))).first()[0]
+        sizes = each.groupBy(*table).agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("c"), F.max("c").alias("most"))
+        sizes, _ = settle(sizes.withColumn("pairs", (F.col("c") - F.col("most")) * F.col("c")), "near-sizes")
+        heavy, listed = heavy_keys(sizes, table, "pairs")
         blocks = max(1, int(listed // block) + 1)
         # a pair that meets in several tables is listed in the first of them alone
         halves = classes.select("id", "a", "b")
         first = lambda c: F.array_position(F.zip_with(f"{c}x", f"{c}y", lambda p, q: p == q), F.lit(True)) - 1
         for k in range(blocks):
             part = open_.where(F.pmod("t1", F.lit(blocks)) == k).join(halves, "id")
-            x = part.join(heavy.select("t1", "t2", "big"), ["t1", "t2"]).where("root != big").select("t1", "t2", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("qx"), F.col("root").alias("rx"), "i", "j", F.col("a").alias("ax"), F.col("b").alias("bx"))
+            x = spread_join(part, sizes.select(*table, "big"), table, heavy).where("root != big").select("t1", "t2", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("qx"), F.col("root").alias("rx"), "i", "j", F.col("a").alias("ax"), F.col("b").alias("bx"))
             y = part.select("t1", "t2", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("qy"), F.col("root").alias("ry"), F.col("a").alias("ay"), F.col("b").alias("by"))
-            pairs = x.join(y, ["t1", "t2"]).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy") & (first("a") == F.col("i")) & (first("b") == F.col("j"))).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+            pairs = spread_join(x, y, table, heavy).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy") & (first("a") == F.col("i")) & (first("b") == F.col("j"))).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
             found, _ = settle(_verified(pairs, full, percent), "near-links")
             links = found if links is None else links.unionByName(found)
         roots = components(links)
@@ -268,6 +276,7 @@ def near_report(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """docs with one row of each component of rows linked at percent."""
+    docs, named = guarded(docs)
     rows = keyed(docs)
     gone = near_groups(rows, percent).where(~F.col("stays")).select(*KEY)
-    return rows.join(gone, KEY, "left_anti").select(*docs.columns)
+    return named(rows.join(gone, KEY, "left_anti").select(*docs.columns))
