@@ -1,10 +1,12 @@
 """Byte-level BPE ids from a tokenizers JSON file, merged by tiktoken's engine, which gives the same ids several times faster.
 
 The ranks are read from the JSON's own vocabulary and merges; load() refuses a file in which a merge's rank and its id differ,
-since only then do both engines agree. A text with a run of LONGEST blanks, letters, digits or other signs is encoded by the
-tokenizers library itself: tiktoken's pattern overflows its stack on runs of about a million blanks.
+since only then do both engines agree. It also refuses files with another pre-tokeniser, a normaliser, or added tokens that
+take blanks along or match whole words only.
 
-Added tokens that stand in a text, such as <|endoftext|>, are encoded as ordinary text (encode_special_tokens).
+The ids are those of the tokenizers library with its default settings: an added token that stands in a text, such as
+<|endoftext|>, is that token. Such a text is encoded by the library itself, as is one with a run of LONGEST blanks, letters,
+digits or other signs, since tiktoken's pattern overflows its stack on runs of about a million blanks.
 """
 
 from __future__ import annotations
@@ -36,16 +38,23 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, model = byte_letters(), spec["model"]
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        split, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", ())
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path}: not plain byte-level text")
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: an added token takes more than its own text")
+        special = {t["content"]: t["id"] for t in added}
+        self.added = re.compile("|".join(map(re.escape, special))) if special else None
         ranks = {bytes(letters[c] for c in token): n for token, n in model["vocab"].items() if token not in special}
         for k, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             if model["vocab"][left + right] != 256 + k:
                 raise ValueError(f"{path}: merge {k} has another id than its rank")
         self.engine = tiktoken.Encoding("residua", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.path, self._library = path, None
+        self.lengths = np.zeros(max(*ranks.values(), *special.values(), 0) + 1, np.int64)
+        for token, n in special.items():
+            self.lengths[n] = len(token.encode())
         for token, n in ranks.items():
             self.lengths[n] = len(token)
 
@@ -56,11 +65,17 @@ class ByteBpe:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def library(self) -> Tokenizer:
+        """Loaded when a text first needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if len(text) >= LONGEST and LONG_RUN.search(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if (self.added and self.added.search(text)) or (len(text) >= LONGEST and LONG_RUN.search(text)):
+            return np.asarray(self.library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.asarray(self.engine.encode_ordinary(text), dtype=np.uint32)
 
     def byte_ends(self, ids: np.ndarray) -> np.ndarray:

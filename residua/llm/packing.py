@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .bpe import ByteBpe
 from .common import KEY, keyed, settle
 
@@ -234,6 +235,7 @@ def cut(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -> D
             own, p, i, n, crc = np.array(rows, dtype=np.int64).reshape(-1, 5).T
             own = pa.array(own)
             yield pa.RecordBatch.from_arrays([names.take(own), *(batch[c].take(own) for c in KEY), pa.array(p, pa.int32()), pa.array(i), pa.array(n), pa.array(crc)], names=["doc_id", *KEY, "piece", "start", "length", "ids_crc32"])
+        tk.release()
 
     rows = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *KEY)
     return rows.mapInArrow(run, PIECES)
