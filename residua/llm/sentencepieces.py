@@ -1,24 +1,29 @@
 """SentencePiece models on the tokenizers library: encoding, decoding and a parity check.
 
 The model's protobuf is read field by field: pieces with score and kind, the trainer's model type and byte fallback, and the
-normaliser's settings. From these a tokenizers.Tokenizer is rebuilt: the normaliser (with its character map, if it has one),
-the metaspace marker, unigram scores or, for a BPE model, merges in the order of the scores of what they make, and byte
-fallback. Control, unused and byte pieces are never matched in a text.
+normaliser's settings. From these a tokenizers.Tokenizer is rebuilt: the normaliser (its character map, if it has one, the
+removal of extra blanks, the dummy prefix and the metaspace marker), unigram scores or, for a BPE model, merges in the order of
+the scores of what they make, byte fallback, and the decoder. Control, unused and byte pieces are never matched in a text.
 
-Where no piece has the marker behind another character, tokens can't cross from a word into the next marker; then texts are
-cut there, and the words that a process hasn't met yet are encoded in one multithreaded batch. Else whole texts are encoded.
+Where no piece has the marker behind another character, tokens can't cross from a word into the next marker; then normalised
+texts are cut there, and the distinct words of a batch that a process hasn't met yet are encoded in one multithreaded batch, by
+this library and by sentencepiece. Else whole texts are encoded.
 
-Defined cases: a null text counts as empty and has no token. Repeated rows are encoded each. Characters outside the vocabulary
-become bytes, or the unknown piece in a model without byte fallback.
+Parity: a text has it if both libraries normalise the whole text alike and have the same ids for each of its words. Where a word
+differs, or where texts aren't cut, the whole text's ids are compared. Every text is compared.
+
+Defined cases: a null text counts as empty and has no token. Repeated rows are encoded each; an empty table gives no rows.
+Characters outside the vocabulary become bytes, or the unknown piece in a model without byte fallback. A very long text is a
+batch by itself. Columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,7 +36,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Words whose ids a process keeps.
 KNOWN_WORDS = 400_000
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_MARK = MARK.encode()
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,24 +102,58 @@ def rebuild(model: Model):
     return Tokenizer(models.BPE(vocabulary, merges, unk_token=names[model.unknown], fuse_unk=True, byte_fallback=model.byte_fallback))
 
 
+def normaliser(model: Model):
+    """The model's normaliser, marker included, as one of the tokenizers library; None where it changes nothing."""
+    from tokenizers import Regex, normalizers
+
+    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
+    if model.squeeze:
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+    if model.dummy_prefix:
+        steps.append(normalizers.Prepend(" "))
+    if model.escape:
+        steps.append(normalizers.Replace(" ", MARK))
+        if model.squeeze:  # markers at the end go like blanks
+            steps.append(normalizers.Replace(Regex(rf"{MARK}+\z"), ""))
+    return normalizers.Sequence(steps) if steps else None
+
+
+def whole(model: Model):
+    """The full tokenizer, from raw text to ids and back."""
+    from tokenizers import decoders
+
+    out = rebuild(model)
+    if steps := normaliser(model):
+        out.normalizer = steps
+    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    return out
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of given sizes, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Codec:
     _loaded: dict[str, "Codec"] = {}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        from tokenizers import normalizers
+        import sentencepiece
 
         with open(path, "rb") as f:
             self.model = Model(f.read())
-        self.tokenizer = rebuild(self.model)
-        self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
-        self.by_word = not any(MARK in p.lstrip(MARK) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
-        self.known: dict[str, list[int]] = {}
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        for k, (_, _, kind) in enumerate(self.model.pieces):
-            if kind == UNKNOWN:
-                self.bytes[k] = " ⁇ ".encode()
+        self.words, self.whole, self.steps = rebuild(self.model), whole(self.model), normaliser(self.model)
+        self.other = sentencepiece.SentencePieceProcessor(model_proto=open(path, "rb").read())
+        self.by_word = self.model.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
+        # ids as bytes, and the words on which the libraries differ
+        self.known: dict[bytes, bytes] = {}
+        self.unlike: set[bytes] = set()
+        made = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.sizes = np.array([len(b) for b in made])
+        self.starts, self.bytes = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(made), np.uint8)
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
 
     @classmethod
@@ -125,31 +164,65 @@ class Codec:
         return cls._loaded[path]
 
     def normalise(self, text: str) -> str:
-        if self.charsmap:
-            text = self.charsmap.normalize_str(text)
-        if self.model.squeeze:
-            text = re.sub(" {2,}", " ", text.strip(" "))
-        if text and self.model.dummy_prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if self.model.escape else text
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        normal = [self.normalise(t or "") for t in texts]
-        if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch(normal, add_special_tokens=False)]
-        words = [_WORD.findall(t) for t in normal]
-        new = list({w for own in words for w in own if w not in self.known})
+        return self.steps.normalize_str(text) if text and self.steps else text
+
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, packed."""
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = list({w for own in words for w in own})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = e.ids
-        known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, own))) for own in words]
+            self.known, self.unlike, new = {}, set(), words
+        own = [w.decode() for w in new]
+        plain = [w.replace(MARK, " ") for w in own]
+        theirs = self.other.encode([w[1:] for w in plain] if self.model.dummy_prefix else plain, num_threads=1)
+        for w, e, t in zip(new, self.words.encode_batch_fast(own, add_special_tokens=False), theirs):
+            ids = e.ids
+            self.known[w] = array("I", ids).tobytes()
+            if ids != t:
+                self.unlike.add(w)
+        return list(map(self.known.__getitem__, words))
 
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.bytes.__getitem__, ids)).decode(errors="replace")
-        return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
+    def encode(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The normalised texts, all ids, the bounds of each text's ids among them, and the texts' parity."""
+        if not self.by_word:
+            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            bounds = np.cumsum([0, *map(len, ids)])
+            parity = np.array([a == b for a, b in zip(ids, self.other.encode(texts, num_threads=1))], bool)
+            return [self.normalise(t) for t in texts], np.fromiter(chain.from_iterable(ids), np.uint32, int(bounds[-1])), bounds, parity
+        normal = [self.normalise(t) for t in texts]
+        raw = [t.encode() for t in normal]
+        ends = np.cumsum([0, *map(len, raw)])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        # a word begins with the text or with a marker behind another character
+        marks = np.zeros(len(data) + 3, bool)
+        marks[: max(0, len(data) - 2)] = (data[:-2] == _MARK[0]) & (data[1:-1] == _MARK[1]) & (data[2:] == _MARK[2])
+        opens = marks.copy()
+        opens[3:] &= ~marks[:-3]
+        opens[ends] = True
+        starts = np.flatnonzero(opens[: len(data)])
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        kinds = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        words = kinds.dictionary.to_pylist()
+        known = self._word_ids(words)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        at = kinds.indices.to_numpy()
+        ids = flat[_spread((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        first = np.searchsorted(starts, ends)  # each text's first word
+        bounds = np.append(0, np.cumsum(sizes[at]))[first]
+        wrong = np.append(0, np.cumsum(np.array([w in self.unlike for w in words] if self.unlike else np.zeros(len(words)), bool)[at]))[first]
+        alike = np.array([self.other.normalize(t) == n for t, n in zip(texts, normal)], bool)
+        parity = alike & (np.diff(wrong) == 0)
+        for k in np.flatnonzero(~parity):
+            parity[k] = self.other.encode(texts[k]) == ids[bounds[k] : bounds[k + 1]].tolist()
+        return normal, ids, bounds, parity
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The text of each run of ids."""
+        sizes = self.sizes[ids]
+        data = self.bytes[_spread(self.starts[ids], sizes)].tobytes()
+        cuts = np.append(0, np.cumsum(sizes))[bounds].tolist()
+        out = (data[a:b].decode(errors="replace") for a, b in zip(cuts, cuts[1:]))
+        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in out]
 
 
 def pieces_report(docs: DataFrame, path: str, batch_bytes: int = 4 << 20) -> DataFrame:
@@ -159,23 +232,23 @@ def pieces_report(docs: DataFrame, path: str, batch_bytes: int = 4 << 20) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        codec, other = Codec.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        codec = Codec.load(path)
         for batch in batches:
             out: list[tuple] = []
-            texts = [t or "" for t in batch["text"].to_pylist()]
+            texts = batch["text"].to_pylist()
             at = 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end]) <= batch_bytes):
                     size, end = size + len(texts[end]), end + 1
-                own = texts[at:end]
-                for text, ids, theirs in zip(own, codec.encode(own), other.encode(own, num_threads=1)):
-                    packed, back = np.array(ids, "<u4"), codec.decode(ids)
-                    plain = codec.normalise(text).replace(MARK, " ")
+                normal, ids, bounds, parity = codec.encode(texts[at:end])
+                of_bytes = np.append(0, np.cumsum(codec.is_byte[ids]))[bounds]
+                packed, cuts = memoryview(ids.astype("<u4").tobytes()), bounds.tolist()
+                for k, (text, back) in enumerate(zip(normal, codec.decode(ids, bounds))):
+                    plain = text.replace(MARK, " ") if codec.model.escape else text
                     plain = plain[1:] if codec.model.dummy_prefix else plain
-                    out.append((len(ids), int(codec.is_byte[packed].sum()), zlib.crc32(packed.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == plain, ids == theirs))
+                    n = cuts[k + 1] - cuts[k]
+                    out.append((n, int(of_bytes[k + 1] - of_bytes[k]), zlib.crc32(packed[4 * cuts[k] : 4 * cuts[k + 1]]), hashlib.sha256(back.encode()).hexdigest(), back == plain, bool(parity[k])))
                 at = end
             n, b, crc, sha, same, parity = list(zip(*out)) or [()] * 6
             cols = [pa.array(n, pa.int64()), pa.array(b, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())]

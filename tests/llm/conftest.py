@@ -16,7 +16,7 @@ def edge(spark):
         (4, " \t\n ", "en", "s", 4, "x", 0.5), (5, base, "en", "s", len(base), "x", 0.5), (6, base + "é<|endoftext|>", "en", "s", 7, "x", 0.5), (7, "a  b", "en", "s", 4, "x", 0.5), (8, "a b", "en", "s", 3, "x", 0.5),
         (9, "ünïcode ☃ text 雪 with few words", "xx", "s", 9, "x", 0.5), (10, None, "en", "s", 0, "x", 0.5),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, digest string, toxicity double").selectExpr("*", "text as body", "doc_id as id", "'x' as spans", "1 as first", "2 as n", "'k' as label")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, digest string, toxicity double").selectExpr("*", "text as body", "doc_id as id", "'x' as spans", "1 as first", "2 as n", "'k' as label", "7 as _rsd_file", "8 as _rsd_row", "9 as _RSD_spans", "10 as _rsd_toxicity", "11 as _rsd_parts")
 
 
 @pytest.fixture(scope="session")

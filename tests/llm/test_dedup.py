@@ -55,6 +55,7 @@ def test_exact_digest_collisions_over_documents(docs):
 def test_exact_dedup_keeps_columns(edge, empty):
     out = exact_dedup.exact_dedup(edge)
     assert out.columns == edge.columns
+    assert {(r._rsd_file, r._rsd_row, r._RSD_spans, r._rsd_toxicity) for r in out.collect()} == {(7, 8, 9, 10)}
     assert len({normal(r.text) for r in edge.collect()}) == out.count()
     assert exact_dedup.exact_report(empty).count() == 0
 
@@ -140,7 +141,7 @@ def test_suffix_array():
             assert shared[b] == n
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"shard_bytes": 3000, "broadcast_rows": 1}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 400}, {"shard_bytes": 3000, "broadcast_rows": 1}])
 def test_suffix_report(docs, options):
     rows = docs.collect()
     want = sorted((r.doc_id, *x) for r, x in zip(rows, removed([(r.text or "").encode() for r in rows], 200)))
@@ -152,14 +153,15 @@ def test_suffix_small_grams(spark):
     texts = ["".join(rng.choice(list("abé"), int(rng.integers(0, 60)))) for _ in range(40)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted((k, *x) for k, x in enumerate(removed([t.encode() for t in texts], 12)))
-    for hot in (1, 10_000):
-        assert sorted(tuple(r) for r in suffix_dedup.suffix_report(frame, gram=12, anchor=5, hot=hot).collect()) == want
+    for widths, size in (((3, 1), 24), ((1,), 24), ((3, 1), 1 << 20)):
+        assert sorted(tuple(r) for r in suffix_dedup.suffix_report(frame, gram=12, anchor=5, widths=widths, shard_bytes=size).collect()) == want
 
 
 def test_suffix_edges(edge, empty):
     rows = edge.collect()
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_report(edge).collect())
-    assert [g[:2] for g in got] == sorted((str(r.doc_id), len((r.text or "").encode())) for r in rows)
+    got = Counter(tuple(r)[1:] for r in suffix_dedup.suffix_report(edge).collect())
+    assert got == Counter(removed([(r.text or "").encode() for r in rows], 200))
     out = suffix_dedup.suffix_dedup(edge)
     assert out.columns == edge.columns and out.count() == len(rows)
+    assert {(r._rsd_file, r._rsd_row, r._RSD_spans) for r in out.collect()} == {(7, 8, 9)}
     assert suffix_dedup.suffix_report(empty).count() == 0

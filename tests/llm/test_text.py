@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -113,9 +114,25 @@ def test_media_report(edge, empty):
 
 def test_ids_are_those_of_the_library(docs, edge):
     own, theirs = bpe.ByteBpe.load(VOCABULARY), Tokenizer.from_file(VOCABULARY)
-    theirs.encode_special_tokens = True
-    for text in [r.text for r in docs.collect()] + [r.text for r in edge.collect()] + ["it's  'S\n\n x\t　y 12ab'll don't"]:
-        assert own.ids(text).tolist() == theirs.encode(text or "", add_special_tokens=False).ids
+    for text in [r.text for r in docs.collect()] + [r.text for r in edge.collect()] + ["it's  'S\n\n x\t　y 12ab'll don't", "a<|endoftext|>b <|endoftext|> <|endoftext", "<|endoftext|>"]:
+        ids = own.ids(text)
+        encoded = theirs.encode(text or "", add_special_tokens=False)
+        assert ids.tolist() == encoded.ids
+        # the library's offsets count characters, and a character may be cut by tokens
+        ends = np.cumsum([0, *(len(c.encode()) for c in text or "")])
+        assert len(ids) < 2 or all(ends[b - 1] < e <= ends[b] for e, (_, b) in zip(own.byte_ends(ids), encoded.offsets))
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        with open(tmp_path / "other.json", "w", encoding="utf-8") as f:
+            json.dump(spec | change, f)
+        with pytest.raises(ValueError):
+            bpe.ByteBpe(str(tmp_path / "other.json"))
 
 
 @pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "a" + "\n" * 1_000_001, "a" * 120_000 + " b"])
@@ -193,6 +210,16 @@ def test_section_tokens(docs, edge, empty, rule):
     assert token_counts.section_tokens(empty, VOCABULARY).count() == 0
 
 
+def test_given_sections(spark):
+    rows = [(1, "alpha beta<|endoftext|>gamma", [3, 10]), (2, "alpha beta", [40, 0, None, 7, 7]), (3, None, [2]), (4, "one two", None)]
+    got = token_counts.section_tokens(spark.createDataFrame(rows, "doc_id long, text string, ends array<int>"), VOCABULARY, "first", "ends").collect()
+    assert [tuple(r)[:4] for r in got if r.doc_id == 1] == [(1, 0, 0, 3), (1, 1, 3, 7), (1, 2, 10, 18)]
+    assert [r.n_bytes for r in got if r.doc_id == 2] == [0, 7, 0, 3] and [r.n_bytes for r in got if r.doc_id > 2] == [0, 7]
+    theirs = Tokenizer.from_file(VOCABULARY)
+    for i, text, _ in rows:
+        assert sum(r.n_tokens for r in got if r.doc_id == i) == len(theirs.encode(text or "", add_special_tokens=False).ids)
+
+
 def test_pieces(docs, edge, empty):
     for frame in (docs, edge):
         rows = sentencepieces.pieces_report(frame, PIECES).collect()
@@ -200,24 +227,54 @@ def test_pieces(docs, edge, empty):
     assert sentencepieces.pieces_report(empty, PIECES).count() == 0
 
 
-def test_unigram_model():
-    """A model put together here: scores decide, and unknown characters become bytes."""
-    import struct
+def proto_varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + proto_varint(n >> 7)
 
-    def varint(n):
-        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
 
-    def field(k, v):
-        return varint(k << 3 | 2) + varint(len(v)) + v
+def proto_field(k, v):
+    return proto_varint(k << 3 | 2) + proto_varint(len(v)) + v
 
-    piece = lambda p, s, t: field(1, field(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(t))
-    body = piece("<unk>", 0, 2) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256))
-    body += b"".join(piece(p, s, 1) for p, s in (("▁", -3.0), ("▁ab", -1.0), ("a", -2.0), ("b", -2.0), ("c", -2.0), ("bc", -1.0)))
-    body += field(2, varint(3 << 3) + varint(1) + varint(35 << 3) + varint(1))
-    model = sentencepieces.Model(body)
-    assert model.unigram and model.byte_fallback and len(model.pieces) == 263
-    ids = sentencepieces.rebuild(model).encode("▁abc", add_special_tokens=False).ids
-    assert [model.pieces[i][0] for i in ids] == ["▁ab", "c"]
+
+def small_model(path, unigram, squeeze, cross):
+    """A model put together here, over the letters a, b and c."""
+    import struct
+
+    piece = lambda p, s, t: proto_field(1, proto_field(1, p.encode()) + proto_varint(2 << 3 | 5) + struct.pack("<f", s) + proto_varint(3 << 3) + proto_varint(t))
+    flag = lambda k, v: proto_varint(k << 3) + proto_varint(int(v))
+    own = [("▁", -3.0), ("▁a", -0.5), ("▁ab", -1.0), ("a", -2.0), ("b", -2.1), ("c", -2.2), ("bc", -1.5), ("abc", -4.0), ("ca", -2.3)] + ([("c▁", -1.1), ("c▁a", -1.2)] if cross else [])
+    body = piece("<unk>", 0, 2) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256)) + b"".join(piece(p, s, 1) for p, s in own)
+    body += proto_field(2, flag(3, 1 if unigram else 2) + flag(35, 1)) + proto_field(3, flag(3, 1) + flag(4, squeeze) + flag(5, 1))
+    path.write_bytes(body)
+    return str(path)
+
+
+@pytest.mark.parametrize("unigram", [True, False])
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("cross", [True, False])
+def test_small_models(tmp_path, unigram, squeeze, cross):
+    """Both kinds of model, with and without words that tokens can cross, against the sentencepiece library on whole texts."""
+    import sentencepiece
+
+    path = small_model(tmp_path / "own.model", unigram, squeeze, cross)
+    codec, theirs = sentencepieces.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert codec.model.unigram == unigram and codec.model.byte_fallback and codec.by_word == (not cross)
+    rng = np.random.default_rng(1)
+    texts = ["", " ", "▁", *("".join(rng.choice(list("aabbcc   é▁\n"), int(rng.integers(0, 30)))) for _ in range(200))]
+    normal, ids, bounds, parity = codec.encode(texts)
+    own = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert own == theirs.encode(texts) and parity.all() and normal == [theirs.normalize(t) for t in texts]
+    assert own == [e.ids for e in codec.whole.encode_batch(texts, add_special_tokens=False)]
+    back = codec.decode(ids, bounds)
+    assert back == [n.replace("▁", " ")[1:] for n in normal] and back == [codec.whole.decode(i, skip_special_tokens=False) for i in own]
+
+
+def test_parity_sees_other_ids(tmp_path):
+    codec = sentencepieces.Codec(small_model(tmp_path / "own.model", True, False, False))
+    right = codec.encode(["ab c", "bc ca"])[3]
+    other = sentencepieces.Model(open(tmp_path / "own.model", "rb").read())
+    other.pieces = [(p, -50.0 if p == "▁a" else score, kind) for p, score, kind in other.pieces]
+    codec.known, codec.words = {}, sentencepieces.rebuild(other)
+    assert right.all() and codec.encode(["ab c", "bc ca", "abc"])[3].tolist() == [True, True, False]
 
 
 # ---- chats ----
@@ -297,6 +354,53 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert both.score[both.toxic == 1].mean() > 5 * both.score[both.toxic == 0].mean()
 
 
+def plain_features(text):
+    """The same words, pairs and skip pairs, one by one."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    words = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    return {(w,) for w in words} | {(a, 1, b) for a, b in zip(words, words[1:])} | {(a, 2, b) for a, b in zip(words, words[2:])}
+
+
+def test_ftrl_against_a_plain_loop(spark):
+    """Coordinates by name in a dictionary, with the published update; no hashing, no arrays."""
+    docs = {r.doc_id: r.text for r in common.documents(spark, SF).collect()}
+    labels = {r.doc_id: int(r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in docs}
+    ids, r = sorted(labels), toxicity.RATES
+    z, n = {}, {}
+
+    def weight(k):
+        l1 = 0.0 if k is None else r["l1"]
+        return 0.0 if abs(z.get(k, 0.0)) <= l1 else -(z[k] - (l1 if z[k] > 0 else -l1)) / ((r["beta"] + n[k] ** 0.5) / r["alpha"] + r["l2"])
+
+    def chance(text):
+        return 1 / (1 + np.exp(-sum(weight(k) for k in {*plain_features(text), None})))
+
+    for _ in range(r["epochs"]):
+        for i in ids:
+            own = {*plain_features(docs[i]), None}
+            g = chance(docs[i]) - labels[i]
+            for k, w in [(k, weight(k)) for k in own]:
+                before = n.get(k, 0.0)
+                n[k] = before + g * g
+                z[k] = z.get(k, 0.0) + g - (n[k] ** 0.5 - before**0.5) / r["alpha"] * w
+    rows = list(toxicity.distinct_features(pa.array([docs[i] for i in ids], pa.string()), 40))
+    assert [len(m) for m in rows] == [len(plain_features(docs[i])) for i in ids]
+    flat = np.unique(np.concatenate(rows))
+    at, w = toxicity.fit([np.searchsorted(flat, m) for m in rows], [labels[i] for i in ids], bits=22)
+    assert len(flat) < 1 << 22
+    table = np.zeros((1 << 22) + 1)
+    table[at] = w
+    got = [1 / (1 + np.exp(-(table[np.searchsorted(flat, m)].sum() + table[-1]))) for m in rows]
+    np.testing.assert_allclose(got, [chance(docs[i]) for i in ids], atol=1e-9)
+
+
+def test_toxicity_sample_is_bounded(spark, edge):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(11)], "doc_id long, toxic int")
+    none = toxicity.train(edge, labels, max_train_bytes=0)
+    some = toxicity.train(edge, labels, max_train_bytes=100_000)
+    assert len(none[0]) <= 1 and len(some[0]) >= len(none[0])
+
+
 def test_toxicity_edges(spark, edge, empty):
     labels = spark.createDataFrame([(7, 1), (8, 0), (None, 1), (9, None), (99, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity_report(edge, labels).collect()
