@@ -30,7 +30,7 @@ def ss_class(aa: Column) -> Column:
 
 
 def substitution_row(aa: Column) -> Column:
-    table = F.create_map(*(x for a, row in C.substitution_rows().items() for x in (F.lit(a), F.array(*map(F.lit, row)))))
+    table = F.create_map(*(x for a, row in C.SUBSTITUTION.items() for x in (F.lit(a), F.array(*map(F.lit, row)))))
     return F.coalesce(F.try_element_at(table, aa), F.array(*[F.lit(0)] * 20))
 
 
