@@ -15,9 +15,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, **options: str) -
 
 
 def checkpointed(spark: SparkSession) -> SparkSession:
-    """spark with a checkpoint folder: the one in spark.checkpoint.dir, our own only where that is unset."""
+    """spark with a checkpoint folder: the one in spark.checkpoint.dir; only a local session without one gets its own."""
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="residua-checkpoint-"))
     return spark
 
