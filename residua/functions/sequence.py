@@ -27,9 +27,8 @@ def one_letter(name: Column) -> Column:
 
 
 def kmers(seq: Column, k: int = 3) -> Column:
-    """All overlapping substrings of length k in order; empty for shorter sequences."""
-    n = F.length(seq) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping substrings of length k in order; empty for shorter sequences. In one pass, however long the sequence is."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def seq_hash(seq: Column) -> Column:
@@ -40,16 +39,52 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
-def hydrophobic_moment(hydropathy: Column, n: Column, window: int = 18) -> Column:
-    """The largest |sum of h(i + j) cos(100 j degrees)| / w over windows of w = min(window, n) residues."""
-    w = F.least(F.lit(window), n)
-    turns = F.array(*(F.lit(math.cos(math.radians(100.0 * j))) for j in range(window)))
-    one = lambda i: F.abs(total(F.zip_with(F.slice(hydropathy, i, w), F.slice(turns, F.lit(1), w), lambda h, c: h * c))) / w
-    return F.array_max(F.transform(F.sequence(F.lit(1), n - w + 1), one))
+def count_of(seq: Column, letters: str) -> Column:
+    """How many characters of a sequence are among the letters."""
+    return F.length(seq) - F.length(F.translate(seq, letters, ""))
+
+
+def codes_of(seq: Column) -> Column:
+    """The place of each character behind A."""
+    return F.transform(residues_of(seq), lambda c: F.ascii(c) - ord("A"))
+
+
+def _by_code(name: str) -> Column:
+    k = 1 + C.PROPERTIES.index(name)
+    known = {r[0]: float(r[k]) for r in C.RESIDUES}
+    return F.array(*(F.lit(known.get(chr(c), 0.0)) for c in range(ord("A"), ord("Z") + 1)))
 
 
-def group_share(residues: Column, letters: str) -> Column:
-    return F.size(F.filter(residues, lambda c: c.isin(*letters))) / F.size(residues)
+def property_sum(codes: Column, name: str) -> Column:
+    """The sum of a property over codes_of a sequence; unknown residues count as 0."""
+    return F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.coalesce(F.get(_by_code(name), c), F.lit(0.0)))
+
+
+def properties_along(codes: Column, name: str) -> Column:
+    return F.transform(codes, lambda c: F.coalesce(F.get(_by_code(name), c), F.lit(0.0)))
+
+
+def hydrophobic_moment(hydropathy: Column, n: Column, window: int = 18) -> Column:
+    """The largest |sum of h(i + j) cos(100 j degrees)| / w over windows of w = min(window, n) residues.
+
+    A window's sum as a complex number follows from the one before: without its first residue, turned back by a step, with the
+    next residue at the last turn. So the work doesn't grow with the window.
+    """
+    w = F.least(F.lit(window), n)
+    turn = lambda f: F.array(*(F.lit(f(math.radians(100.0 * j))) for j in range(window)))
+    first = lambda f: total(F.zip_with(F.slice(hydropathy, F.lit(1), w), F.slice(turn(f), F.lit(1), w), lambda h, c: h * c))
+    cos1, sin1 = math.cos(math.radians(100.0)), math.sin(math.radians(100.0))
+    cos_last, sin_last = (f(math.radians(100.0 * (window - 1))) for f in (math.cos, math.sin))
+    start = F.struct(first(math.cos).alias("re"), first(math.sin).alias("im"), F.abs(first(math.cos)).alias("most"))
+
+    def step(s: Column, i: Column) -> Column:
+        gone, new = F.get(hydropathy, i - 1), F.get(hydropathy, i + (window - 1))
+        re = (s["re"] - gone) * cos1 + s["im"] * sin1 + new * cos_last
+        im = s["im"] * cos1 - (s["re"] - gone) * sin1 + new * sin_last
+        return F.struct(re.alias("re"), im.alias("im"), F.greatest(s["most"], F.abs(re)).alias("most"))
+
+    later = F.when(n > window, F.sequence(F.lit(1), n - window)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(later, start, step, lambda s: s["most"]) / w
 
 
 def length_range(n: Column) -> Column:

@@ -41,13 +41,19 @@ def md5_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def signature(grams: Column, size: int, portable: bool = False) -> Column:
-    """MinHash signature; the portable family is MD5, the other one xxHash."""
-    if portable:
-        one = lambda p: F.array_min(F.transform(grams, lambda g: md5_number(F.concat(g, F.lit(":"), p.cast("string")))))
-    else:
-        one = lambda p: F.coalesce(F.array_min(F.transform(grams, lambda g: F.xxhash64(g, p))), F.lit(0).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)
+def signatures(rows: DataFrame, size: int, portable: bool = False, broadcast_grams: int = 100_000) -> DataFrame:
+    """rows of shingled() with sig, the MinHash signature; the portable family is MD5, the other one xxHash.
+
+    Each distinct gram is hashed once. There are few (8000 of three residues), so their table is broadcast; beyond
+    broadcast_grams it is joined by shuffle.
+    """
+    each = rows.select("id", "bucket", "len", F.explode_outer("grams").alias("gram"))
+    one = (lambda p: md5_number(F.concat("gram", F.lit(f":{p}")))) if portable else (lambda p: F.xxhash64("gram", F.lit(p)))
+    table = each.where("gram is not null").select("gram").distinct().select("gram", F.array(*(one(p) for p in range(size))).alias("h"))
+    if table.select("gram").limit(broadcast_grams + 1).count() <= broadcast_grams:
+        table = F.broadcast(table)
+    least = F.array(*(F.coalesce(F.min(F.col("h")[p]), F.lit(None if portable else 0).cast("long")) for p in range(size)))
+    return each.join(table, "gram", "left").groupBy("id", "bucket", "len").agg(least.alias("sig"))
 
 
 def band_keys(sig: Column, bands: int, rows: int) -> Column:
@@ -56,8 +62,7 @@ def band_keys(sig: Column, bands: int, rows: int) -> Column:
 
 def band_members(seqs: DataFrame, bands: int = BANDS, rows: int = ROWS, portable: bool = False) -> DataFrame:
     """id, bucket, len and band: one row for each band of each sequence."""
-    # the signature is a column of its own, so that it's computed once for all bands
-    sigs = shingled(seqs).withColumn("sig", signature(F.col("grams"), bands * rows, portable))
+    sigs = signatures(shingled(seqs), bands * rows, portable)
     return sigs.select("id", "bucket", "len", F.explode(band_keys(F.col("sig"), bands, rows)).alias("band"))
 
 

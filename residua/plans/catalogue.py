@@ -52,23 +52,19 @@ def q02_short_share(spark, sf_dir):
     return own.orderBy(F.desc("n_short"), "source").limit(10)
 
 
-def _described(seqs: DataFrame) -> DataFrame:
-    # the property arrays are columns of their own, as lambdas aren't shared
-    codes = seqs.withColumn("codes", S.residues_of(F.col("seq")))
-    of = lambda name: F.transform("codes", lambda c: S.property_of(c, name))
-    return codes.select("*", *(of(name).alias(name) for name in ("hyd", "chg", "helix")))
-
-
-@query(f"""WITH {O.LETTERS}, w AS (SELECT doc_id, len, least(18, len) AS w, unnest(range(0, len - least(18, len) + 1)) AS i FROM seqs),
-    m AS (SELECT doc_id, max(moment) AS m FROM (SELECT w.doc_id, w.i, abs(sum(hyd * cos(radians(100.0 * (idx - w.i))))) / any_value(w.w) AS moment
-          FROM w JOIN letters l ON l.doc_id = w.doc_id AND l.idx >= w.i AND l.idx < w.i + w.w JOIN props USING (aa) GROUP BY ALL) GROUP BY ALL)
-    SELECT l.doc_id, any_value(len) AS len, round(sum(hyd) / any_value(len), 6) + 0.0 AS hydrophobicity, round(sum(chg), 6) + 0.0 AS net_charge, round(sum(helix) / any_value(len), 6) AS helix_propensity,
-           round(any_value(m.m), 6) AS amphipathicity FROM letters l JOIN props USING (aa) JOIN m ON m.doc_id = l.doc_id GROUP BY l.doc_id""")
+@query(f"""WITH {O.LETTERS}, t AS (SELECT doc_id, len, least(18, len) AS w, idx, hyd, chg, helix, radians(100.0 * idx) AS a FROM letters JOIN props USING (aa)),
+    m AS (SELECT *, sum(hyd * cos(a)) OVER v AS re, sum(hyd * sin(a)) OVER v AS im FROM t WINDOW v AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 17 FOLLOWING))
+    SELECT doc_id, any_value(len) AS len, round(sum(hyd) / any_value(len) + 1e-9, 6) + 0.0 AS hydrophobicity, round(sum(chg) + 1e-9, 6) + 0.0 AS net_charge, round(sum(helix) / any_value(len) + 1e-9, 6) AS helix_propensity,
+           round(max(abs(re * cos(a) + im * sin(a)) / w) FILTER (idx <= len - w) + 1e-9, 6) AS amphipathicity FROM m GROUP BY doc_id""")
 def q03_amp_scalars(spark, sf_dir):
-    rows = _described(T.sequences(spark, sf_dir))
+    # codes and hydropathies are columns of their own, as lambdas aren't shared
+    rows = T.sequences(spark, sf_dir).withColumn("codes", S.codes_of(F.col("seq"))).withColumn("hyd", S.properties_along(F.col("codes"), "hyd"))
+    # sums in another order differ in their last bits; a nudge settles ties alike
+    fine = lambda c: F.round(c + 1e-9, 6)
+    codes, n = F.col("codes"), F.col("len")
     return rows.select(
-        "doc_id", "len", (F.round(S.total(F.col("hyd")) / F.col("len"), 6) + 0.0).alias("hydrophobicity"), (F.round(S.total(F.col("chg")), 6) + 0.0).alias("net_charge"),
-        F.round(S.total(F.col("helix")) / F.col("len"), 6).alias("helix_propensity"), F.round(S.hydrophobic_moment(F.col("hyd"), F.col("len")), 6).alias("amphipathicity"),
+        "doc_id", "len", (fine(S.total(F.col("hyd")) / n) + 0.0).alias("hydrophobicity"), (fine(S.property_sum(codes, "chg")) + 0.0).alias("net_charge"),
+        fine(S.property_sum(codes, "helix") / n).alias("helix_propensity"), fine(S.hydrophobic_moment(F.col("hyd"), n)).alias("amphipathicity"),
     )
 
 
@@ -80,8 +76,7 @@ def q04_aa_composition(spark, sf_dir):
 
 @query("WITH " + O.LETTERS + " SELECT doc_id, " + ", ".join(f"round(count(*) FILTER (contains('{g}', aa)) / any_value(len), 6) AS {n}" for n, g in C.FUNCTIONAL_GROUPS.items()) + " FROM letters GROUP BY doc_id")
 def q04_functional_groups(spark, sf_dir):
-    codes = S.residues_of(F.col("seq"))
-    return T.sequences(spark, sf_dir).select("doc_id", *(F.round(S.group_share(codes, g), 6).alias(n) for n, g in C.FUNCTIONAL_GROUPS.items()))
+    return T.sequences(spark, sf_dir).select("doc_id", *(F.round(S.count_of(F.col("seq"), g) / F.col("len"), 6).alias(n) for n, g in C.FUNCTIONAL_GROUPS.items()))
 
 
 @query(f"""WITH {O.SEQS}, d AS (SELECT doc_id, len, pos, substr(seq, pos + 1, 2) AS dp FROM (SELECT *, unnest(range(0, len - 1))::INT AS pos FROM seqs)),
@@ -119,8 +114,8 @@ _SIGS = f"{O.KMERS}, h AS (SELECT doc_id, bucket, p, min({_MD5}) AS h FROM kmers
 
 @query(f"WITH {_SIGS} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sigs")
 def q09_minhash_signature(spark, sf_dir):
-    rows = dedup.shingled(T.sequences(spark, sf_dir))
-    return rows.select(F.col("id").alias("doc_id"), F.array_join(dedup.signature(F.col("grams"), 16, True).cast("array<string>"), ",").alias("sig"))
+    rows = dedup.signatures(dedup.shingled(T.sequences(spark, sf_dir)), 16, True)
+    return rows.select(F.col("id").alias("doc_id"), F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 @query(f"WITH {_SIGS}, b AS (SELECT doc_id, bucket, k, array_to_string(sig[k * 4 + 1:k * 4 + 4], ',') AS band FROM sigs, (SELECT unnest(range(0, 4)) AS k)) SELECT DISTINCT x.doc_id AS id1, y.doc_id AS id2 FROM b x JOIN b y ON x.bucket = y.bucket AND x.k = y.k AND x.band = y.band AND x.doc_id < y.doc_id")
@@ -390,7 +385,7 @@ def q40_natural_peaks(spark, sf_dir):
 
 
 def _chains(spark, sf_dir) -> DataFrame:
-    return T.sequences(spark, sf_dir, 10, 300).select(F.col("doc_id").alias("chain_id"), "seq", F.col("len").alias("n"))
+    return T.sequences(spark, sf_dir).select(F.col("doc_id").alias("chain_id"), "seq", F.col("len").alias("n"))
 
 
 _FRAG = f"""{O.CHAINS}, l AS (SELECT chain_id, idx, aa, {O._SS} AS c FROM (SELECT chain_id, idx, substr(seq, idx + 1, 1) AS aa FROM (SELECT *, unnest(range(0, n))::INT AS idx FROM chains))),
@@ -459,9 +454,9 @@ def q45_onehot_repair(spark, sf_dir):
     return rows.select("vec_id", (F.abs(V.total(F.col("v")) - 1) > 1e-6).alias("fixed"), (F.array_position("w", F.lit(1.0)) - 1).alias("slot"))
 
 
-@query(f"WITH {O.SEQS} SELECT doc_id, len FROM (SELECT doc_id, len, row_number() OVER (PARTITION BY len ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM seqs WHERE len BETWEEN 5 AND 50) WHERE k <= 5")
+@query(f"WITH {O.PEPTIDES} SELECT doc_id, len FROM (SELECT doc_id, len, row_number() OVER (PARTITION BY len ORDER BY md5(doc_id::VARCHAR), doc_id) AS k FROM seqs WHERE len BETWEEN 5 AND 50) WHERE k <= 5")
 def q46_length_capped_sample(spark, sf_dir):
-    rows = T.sequences(spark, sf_dir).where(F.col("len").between(5, 50))
+    rows = T.peptides(spark, sf_dir).where(F.col("len").between(5, 50))
     return curate.capped(rows, "len", [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 5).select("doc_id", "len")
 
 
@@ -561,12 +556,12 @@ def q56_bin_normalise(spark, sf_dir):
 _GROUP = "CASE " + " ".join(f"WHEN contains('{g}', aa) THEN '{n}'" for n, g in C.FUNCTIONAL_GROUPS.items()) + " END"
 
 
-@query(f"WITH {O.RESIDUES} SELECT aa, {_GROUP} AS grp, {O._SS} AS ss, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM residues), 4) AS pct, round(avg(plddt), 4) AS plddt FROM residues GROUP BY ALL")
+@query(f"WITH {O.LETTERS}, r AS (SELECT aa, {O.PLDDT} FROM letters) SELECT aa, {_GROUP} AS grp, {O._SS} AS ss, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM r), 4) AS pct, round(avg(plddt), 4) AS plddt FROM r GROUP BY ALL")
 def q57_residue_ss_stats(spark, sf_dir):
     group = F.lit(None).cast("string")
     for n, letters in C.FUNCTIONAL_GROUPS.items():
         group = F.when(F.col("aa").isin(*letters), n).otherwise(group)
-    counted = T.residues(spark, sf_dir).groupBy("aa").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("plddt"), 4).alias("plddt"))
+    counted = T.residues(spark, sf_dir, T.sequences(spark, sf_dir)).groupBy("aa").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("plddt"), 4).alias("plddt"))
     total = F.sum("n").over(Window.partitionBy())  # twenty rows
     return counted.select("aa", group.alias("grp"), graphs.ss_class(F.col("aa")).alias("ss"), "n", F.round(F.col("n") * 100.0 / total, 4).alias("pct"), "plddt")
 

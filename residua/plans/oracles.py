@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from residua import constants as C
 
-SEQS = """seqs AS (
-    SELECT doc_id, seq, length(seq) AS len FROM (
-        SELECT doc_id, substring(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g'), 1, (5 + doc_id % 46)::INT) AS seq
-        FROM documents) WHERE length(seq) >= 5)"""
-CHAINS = """chains AS (
-    SELECT doc_id AS chain_id, seq, length(seq) AS n FROM (
-        SELECT doc_id, substring(regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g'), 1, (10 + doc_id % 300)::INT) AS seq
-        FROM documents) WHERE length(seq) >= 5)"""
+_WHOLE = "regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
+SEQS = f"seqs AS (SELECT doc_id, seq, length(seq) AS len FROM (SELECT doc_id, {_WHOLE} AS seq FROM documents) WHERE length(seq) >= 5)"
+PEPTIDES = f"seqs AS (SELECT doc_id, seq, length(seq) AS len FROM (SELECT doc_id, substring({_WHOLE}, 1, (5 + doc_id % 46)::INT) AS seq FROM documents) WHERE length(seq) >= 5)"
+CHAINS = f"{SEQS}, chains AS (SELECT doc_id AS chain_id, seq, len AS n FROM seqs)"
 PROPS = "props(aa, hyd, chg, mw, vol, flex, arom, helix) AS (SELECT c0, " + ", ".join(f"c{k}::DOUBLE" for k in range(1, 8)) + " FROM (VALUES " + ", ".join(str(r) for r in C.RESIDUES) + ") t(c0, c1, c2, c3, c4, c5, c6, c7))"
-LETTERS = f"{SEQS}, {PROPS}, letters AS (SELECT doc_id, len, idx, substr(seq, idx + 1, 1) AS aa FROM (SELECT *, unnest(range(0, len))::INT AS idx FROM seqs))"
+_LETTERS = f"{PROPS}, letters AS (SELECT doc_id, len, idx, substr(seq, idx + 1, 1) AS aa FROM (SELECT *, unnest(range(0, len))::INT AS idx FROM seqs))"
+LETTERS, SHORT_LETTERS = f"{SEQS}, {_LETTERS}", f"{PEPTIDES}, {_LETTERS}"
 KMERS = f"{SEQS}, kmers AS (SELECT doc_id, len, len // 5 AS bucket, pos, substr(seq, pos + 1, 3) AS kmer FROM (SELECT *, unnest(range(0, len - 2))::INT AS pos FROM seqs))"
-RESIDUES = f"""{LETTERS}, residues AS (
+PLDDT = "(50 + (ascii(aa) * 7 + idx * 13) % 50)::DOUBLE AS plddt"
+RESIDUES = f"""{SHORT_LETTERS}, residues AS (
     SELECT doc_id AS graph_id, idx, aa, round(2.3 * cos(radians(100.0 * idx)), 6) AS x, round(2.3 * sin(radians(100.0 * idx)), 6) AS y, round(1.5 * idx, 6)::DOUBLE AS z,
-           (50 + (ascii(aa) * 7 + idx * 13) % 50)::DOUBLE AS plddt FROM letters)"""
+           {PLDDT} FROM letters)"""
 PLACED = f"""{RESIDUES}, centred AS (
     SELECT graph_id, idx, aa, plddt, x - avg(x) OVER g AS x, y - avg(y) OVER g AS y, z - avg(z) OVER g AS z FROM residues WINDOW g AS (PARTITION BY graph_id)
 ), placed AS (
@@ -55,7 +53,7 @@ EDGES = f"""{PLACED}, pairs AS (
     UNION ALL
     SELECT graph_id, src, dst, edge_type, CASE edge_type {_NAME} END, distance, (CASE edge_type {_STRENGTH} END)::DOUBLE, dir_x, dir_y FROM once)"""
 _SS = "CASE WHEN contains('AELMQKRH', aa) THEN 0 WHEN contains('VIYCWFT', aa) THEN 1 ELSE 2 END"
-BLOSUM = "blosum(aa, b) AS (VALUES " + ", ".join(f"('{a}', {row})" for a, row in C.substitution_rows().items()) + ")"
+BLOSUM = "blosum(aa, b) AS (VALUES " + ", ".join(f"('{a}', {row})" for a, row in C.SUBSTITUTION.items()) + ")"
 NODES = (
     f"{BLOSUM}, nodes AS (SELECT graph_id, idx, aa, "
     + ", ".join(f"b[{k + 1}]::DOUBLE AS f{k}" for k in range(20))

@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua.functions.sequence import residues_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sequences(spark: SparkSession, sf_dir: str, base: int = 5, spread: int = 46) -> DataFrame:
-    """doc_id, seq and len: the residue letters of each document, as many as its id allows; five at least."""
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq and len: all residue letters of each document's whole text; five at least."""
     letters = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
-    cut = F.substring(letters, F.lit(1), (base + F.col("doc_id") % spread).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", cut.alias("seq"))
-    return rows.withColumn("len", F.length("seq")).where("len >= 5")
+    return table(spark, sf_dir, "documents").select("doc_id", letters.alias("seq")).withColumn("len", F.length("seq")).where("len >= 5")
+
+
+def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq and len: a short peptide for each sequence, of 5 to 50 residues, as the graph operators take them."""
+    rows = sequences(spark, sf_dir).select("doc_id", F.expr("substring(seq, 1, int(5 + doc_id % 46))").alias("seq"))
+    return rows.withColumn("len", F.length("seq"))
 
 
-def residues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """graph_id, idx, aa, x, y, z and plddt: each sequence as an ideal helix."""
-    rows = sequences(spark, sf_dir).select(F.col("doc_id").alias("graph_id"), "seq", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("idx"))
-    aa = F.substring(F.col("seq"), F.col("idx") + 1, F.lit(1))
+def residues(spark: SparkSession, sf_dir: str, chains: DataFrame | None = None) -> DataFrame:
+    """graph_id, idx, aa, x, y, z and plddt: each chain, a peptide by default, as an ideal helix."""
+    rows = peptides(spark, sf_dir) if chains is None else chains
+    rows = rows.select(F.col("doc_id").alias("graph_id"), F.posexplode(residues_of(F.col("seq"))).alias("idx", "aa"))
+    aa = F.col("aa")
     angle = F.radians(100.0 * F.col("idx"))
     return rows.select(
-        "graph_id", "idx", aa.alias("aa"), F.round(2.3 * F.cos(angle), 6).alias("x"), F.round(2.3 * F.sin(angle), 6).alias("y"),
+        "graph_id", "idx", "aa", F.round(2.3 * F.cos(angle), 6).alias("x"), F.round(2.3 * F.sin(angle), 6).alias("y"),
         F.round(1.5 * F.col("idx"), 6).alias("z"), (50 + (F.ascii(aa) * 7 + F.col("idx") * 13) % 50).cast("double").alias("plddt"),
     )
