@@ -17,23 +17,33 @@ def shingled(seqs: DataFrame, id_: str = "doc_id", k: int = 3) -> DataFrame:
 def jaccard_pairs(seqs: DataFrame, threshold: float = 0.6, coverage: float = 0.8) -> DataFrame:
     """Pairs of a bucket with Jaccard similarity of their 3-mers and length ratio at the thresholds at least.
 
-    Only a set's rarest grams, so many that two similar sets must share one, are joined on; the full sets decide.
+    Sequences with equal sets are one class until the end. Only a set's rarest grams, so many that two similar sets must share
+    one, are joined on, and only sets of sizes that allow the similarity; the full sets decide.
     """
-    rows = shingled(seqs).where(F.size("grams") > 0)
-    each = rows.select("id", "bucket", F.explode("grams").alias("gram"))
+    rows = shingled(seqs).where(F.size("grams") > 0).withColumn("grams", F.array_sort("grams"))
+    # grams have one length, so the joined ones name a set
+    rows = rows.withColumn("set", F.md5(F.array_join("grams", "")))
+    members = rows.select("bucket", "set", "id", "len")
+    sets = rows.groupBy("bucket", "set").agg(F.first("grams").alias("grams"), F.count(F.lit(1)).alias("members"))
+    each = sets.select("bucket", "set", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").count()
-    ordered = each.join(often, "gram").groupBy("id", "bucket").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
+    ordered = each.join(often, "gram").groupBy("bucket", "set").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
     keep = F.size("g") - F.ceil(F.lit(threshold) * F.size("g")) + 1
-    prefix = ordered.select("id", "bucket", F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("e")).select("id", "bucket", "e.gram")
-    left = prefix.select(F.col("id").alias("id1"), "bucket", "gram")
-    right = prefix.select(F.col("id").alias("id2"), "bucket", "gram")
-    pairs = left.join(right, ["bucket", "gram"]).where("id1 < id2").select("id1", "id2").distinct()
-    a = rows.select(F.col("id").alias("id1"), F.col("grams").alias("g1"), F.col("len").alias("n1"))
-    b = rows.select(F.col("id").alias("id2"), F.col("grams").alias("g2"), F.col("len").alias("n2"))
+    prefix = ordered.select("bucket", "set", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("e")).select("bucket", "set", "n", "e.gram")
+    left = prefix.select("bucket", F.col("set").alias("s1"), F.col("n").alias("n1"), "gram")
+    right = prefix.select("bucket", F.col("set").alias("s2"), F.col("n").alias("n2"), "gram")
+    fits = (F.col("s1") < F.col("s2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2"))
+    pairs = left.join(right, ["bucket", "gram"]).where(fits).select("bucket", "s1", "s2").distinct()
+    a = sets.select("bucket", F.col("set").alias("s1"), F.col("grams").alias("g1"))
+    b = sets.select("bucket", F.col("set").alias("s2"), F.col("grams").alias("g2"))
     both = F.size(F.array_intersect("g1", "g2"))
     sim = both / (F.size("g1") + F.size("g2") - both)
-    full = pairs.join(a, "id1").join(b, "id2").withColumn("jaccard", sim)
-    return full.where((F.col("jaccard") >= threshold) & (F.least("n1", "n2") / F.greatest("n1", "n2") >= coverage)).select("id1", "id2", F.round("jaccard", 6).alias("jaccard"))
+    alike = pairs.join(a, ["bucket", "s1"]).join(b, ["bucket", "s2"]).select("bucket", "s1", "s2", sim.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    alike = alike.unionByName(sets.where("members > 1").select("bucket", F.col("set").alias("s1"), F.col("set").alias("s2"), F.lit(1.0).alias("jaccard")))
+    x = members.select("bucket", F.col("set").alias("s1"), F.col("id").alias("x"), F.col("len").alias("n1"))
+    y = members.select("bucket", F.col("set").alias("s2"), F.col("id").alias("y"), F.col("len").alias("n2"))
+    full = alike.join(x, ["bucket", "s1"]).join(y, ["bucket", "s2"]).where("s1 != s2 or x < y").where(F.least("n1", "n2") / F.greatest("n1", "n2") >= coverage)
+    return full.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), F.round("jaccard", 6).alias("jaccard"))
 
 
 def md5_number(text: Column) -> Column:
