@@ -24,8 +24,11 @@ def hash_model(size: int = 8) -> Model:
     return run
 
 
-def embedded(seqs: DataFrame, id_: str, model: Callable[[], Model], longest: int = 1022) -> DataFrame:
-    """id, n and embedding, one vector for each residue; the model is made once in each task. Sequences are cut at longest."""
+def embedded(seqs: DataFrame, id_: str, model: Callable[[], Model], longest: int | None = 1022) -> DataFrame:
+    """id, n and embedding, one vector for each residue; the model is made once in each task.
+
+    Sequences are cut at longest, the window of the model; with None they go in whole.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model()

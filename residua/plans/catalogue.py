@@ -577,7 +577,7 @@ def q59_lpt_packing(spark, sf_dir):
 
 @query()
 def q60_embedding_stub(spark, sf_dir):
-    rows = embed.embedded(T.sequences(spark, sf_dir), "doc_id", embed.hash_model)
+    rows = embed.embedded(T.sequences(spark, sf_dir), "doc_id", embed.hash_model, None)
     return rows.select("doc_id", "n", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v[0]), 6).alias("first_sum"))
 
 
