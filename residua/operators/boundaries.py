@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def smoothed(rows: DataFrame, keys: list[str], order: list[str], value: str, window: int = 5) -> DataFrame:
+def smoothed(rows: DataFrame, keys: list[str], order: list[str], value: str, window: int | None = 5) -> DataFrame:
     """rows with smooth (moving sum over window, zeros beyond the ends), grad (absolute central difference, one-sided at the
-    ends), norm (over the chain's largest) and boundary (norm above max(floor, mean + deviations))."""
-    half = window // 2
+    ends) and norm (over the chain's largest). Without a window it is a fiftieth of the chain, from 3 to 5."""
     w = Window.partitionBy(*keys).orderBy(*order)
     whole = Window.partitionBy(*keys)
-    rows = rows.withColumn("smooth", F.sum(value).over(w.rowsBetween(-half, half)) / window)
+    mean = lambda k: F.sum(value).over(w.rowsBetween(-(k // 2), (k - 1) // 2)) / k
+    n = F.count(F.lit(1)).over(whole)
+    rows = rows.withColumn("smooth", mean(window) if window else F.when(n < 200, mean(3)).when(n < 250, mean(4)).otherwise(mean(5)))
     before, after = F.lag("smooth").over(w), F.lead("smooth").over(w)
     grad = F.when(before.isNull(), after - F.col("smooth")).when(after.isNull(), F.col("smooth") - before).otherwise((after - before) / 2)
     rows = rows.withColumn("grad", F.abs(F.coalesce(grad, F.lit(0.0))))
@@ -83,11 +84,15 @@ def fragments(chains: DataFrame, boundaries: DataFrame, longest: int = 50, least
 
 
 def random_windows(n: Column, seed: Column, longest: int = 50, least: int = 20) -> Column:
-    """Windows of seeded lengths from least to longest, at seeded steps of half of least to least, until the end is reached."""
+    """Windows of seeded lengths from least to longest, at seeded steps of half of least to least, until the end is reached.
+
+    The seeds are the first 32 bits of the MD5 of "seed:k:what".
+    """
+    drawn = lambda k, what, m: (F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), k.cast("string"), F.lit(what))), 1, 8), 16, 10).cast("long") % m).cast("int")
 
     def turn(done: Column, k: Column) -> Column:
-        start = F.when(F.size(done) == 0, F.lit(0)).otherwise(F.element_at(done, -1)["start"] + F.lit(least // 2) + F.pmod(F.xxhash64(seed, k, F.lit("step")), F.lit(least // 2 + 1)).cast("int"))
-        size = F.lit(least) + F.pmod(F.xxhash64(seed, k, F.lit("size")), F.lit(longest - least + 1)).cast("int")
+        start = F.when(F.size(done) == 0, F.lit(0)).otherwise(F.element_at(done, -1)["start"] + F.lit(least // 2) + drawn(k, "step", least // 2 + 1))
+        size = F.lit(least) + drawn(k, "size", longest - least + 1)
         ended = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= n)
         return F.when(ended | (start >= n), done).otherwise(F.concat(done, F.array(F.struct(start.alias("start"), F.least(start + size, n).alias("end")))))
 

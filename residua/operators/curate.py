@@ -53,3 +53,24 @@ def stratified(rows: DataFrame, stratum: str, hashed: Column, tie: Column, size:
 
 def report(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def subset(rows: DataFrame, hashed: Column, tie: Column, ratio: float | None = None, most: int | None = None, least: int = 10) -> DataFrame:
+    """A seeded subset in the order of the hash: floor(n * ratio) rows but `least` at least, or `most`."""
+    n = rows.count()
+    size = max(int(n * ratio), least) if ratio is not None else n if most is None else most
+    return hash_rank(rows, hashed, tie, name="_rank").where(F.col("_rank") <= min(size, n)).drop("_rank")
+
+
+def curated(graphs: DataFrame, size: str, hashed: Column, tie: Column, cap: int = 10_000, lengths: tuple[int, int] = (5, 50), ratios: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> DataFrame:
+    """graphs of a size within the lengths, at most `cap` of each size, with their split."""
+    return split(capped(graphs.where(F.col(size).between(*lengths)), size, [hashed, tie], cap), hashed, tie, ratios)
+
+
+def split_report(rows: DataFrame, nodes: str, edges: str) -> DataFrame:
+    """For each split its graphs, and mean, deviation and range of their nodes and edges."""
+    fine = lambda c: F.round(c + 1e-9, 4)
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), fine(F.avg(nodes)).alias("nodes_mean"), fine(F.stddev_pop(nodes)).alias("nodes_std"), fine(F.avg(edges)).alias("edges_mean"),
+        fine(F.stddev_pop(edges)).alias("edges_std"), F.min(nodes).alias("nodes_least"), F.max(nodes).alias("nodes_most"),
+    )

@@ -48,3 +48,40 @@ def info_nce(rows: DataFrame, temperature: float = 0.1) -> DataFrame:
         return pairs.withColumn("top", top).groupBy("batch", key).agg((lse - own).alias("loss")).groupBy("batch").agg(F.avg("loss").alias(f"loss_{key}"), F.count(F.lit(1)).alias(f"n_{key}"))
 
     return way("i").join(way("j"), "batch").select("batch", F.col("n_i").alias("n"), ((F.col("loss_i") + F.col("loss_j")) / 2).alias("loss"))
+
+
+def _both_ways(edges: DataFrame, *columns: str) -> DataFrame:
+    way = lambda a, b, sign: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(sign).alias("sign"))
+    return edges.select("graph_id", *columns, F.explode(F.array(way("src", "dst", 1), way("dst", "src", -1))).alias("e")).select("graph_id", *columns, "e.*")
+
+
+def with_self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, src and dst of the edges, and (i, i) for the nodes of graphs without any."""
+    bare = nodes.select("graph_id", "idx").join(edges.select("graph_id").distinct(), "graph_id", "left_anti")
+    return edges.select("graph_id", "src", "dst").unionByName(bare.select("graph_id", F.col("idx").alias("src"), F.col("idx").alias("dst")))
+
+
+def edge_softmax(edges: DataFrame, score: Column) -> DataFrame:
+    """graph_id, src, dst and weight: the softmax of the score over the edges that come into dst. Edges go both ways."""
+    rows = _both_ways(edges.withColumn("_s", score), "_s")
+    into = Window.partitionBy("graph_id", "dst")
+    e = F.exp(F.col("_s") - F.max("_s").over(into))
+    return rows.withColumn("_e", e).select("graph_id", "src", "dst", (F.col("_e") / F.sum("_e").over(into)).alias("weight"))
+
+
+def mean_directions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, idx, degree and the mean unit vector along the edges that come into a node, noughts without any."""
+    at = lambda c, p: nodes.select("graph_id", F.col("idx").alias(c), F.struct("x", "y", "z").alias(p))
+    rows = _both_ways(edges).join(at("src", "a"), ["graph_id", "src"]).join(at("dst", "b"), ["graph_id", "dst"])
+    step = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in "xyz"}
+    far = F.sqrt(sum((v**2 for v in step.values()), F.lit(0.0))) + 1e-6
+    per = rows.groupBy("graph_id", F.col("dst").alias("idx")).agg(F.count(F.lit(1)).alias("degree"), *(F.avg(v / far).alias(f"u{c}") for c, v in step.items()))
+    return nodes.select("graph_id", "idx").join(per, ["graph_id", "idx"], "left").na.fill(0)
+
+
+def norm_attention(long: DataFrame, group: str, item: str) -> DataFrame:
+    """group, item and weight: the softmax over a group of the lengths of its items' vectors. long: group, item, value."""
+    norms = long.groupBy(group, item).agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("_n"))
+    top = norms.groupBy(group).agg(F.max("_n").alias("_top"))
+    e = norms.join(top, group).withColumn("_e", F.exp(F.col("_n") - F.col("_top")))
+    return e.join(e.groupBy(group).agg(F.sum("_e").alias("_sum")), group).select(group, item, (F.col("_e") / F.col("_sum")).alias("weight"))

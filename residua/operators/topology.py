@@ -89,3 +89,28 @@ def path_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         })
 
     return nodes.select("graph_id", "idx").groupBy("graph_id").cogroup(_links(edges).groupBy("graph_id")).applyInPandas(run, "graph_id long, n_components long, sizes string, diameter long, mean_path double")
+
+
+def graph_level(edges: DataFrame) -> DataFrame:
+    """Components, mean clustering, the largest eccentricity within a component, and the degrees' mean, deviation and maximum.
+
+    A graph consists of the ends of its edges; one without edges gives no row.
+    """
+
+    def run(key: tuple, links: pd.DataFrame) -> pd.DataFrame:
+        idx, ends = np.unique(links[["src", "dst"]].to_numpy(), return_inverse=True)
+        src, dst = ends.reshape(-1, 2).T
+        n = len(idx)
+        link = np.zeros((n, n), np.int64)
+        link[src, dst] = link[dst, src] = 1
+        np.fill_diagonal(link, 0)
+        d, degree = _paths(n, src, dst), link.sum(axis=1)
+        closed = np.einsum("ij,jk,ki->i", link, link, link, optimize=True)
+        possible = degree * (degree - 1)
+        own = np.where(possible > 0, closed / np.maximum(possible, 1), 0.0)
+        return pd.DataFrame({
+            "graph_id": [key[0]], "n_components": [len(np.unique(np.argmax(d >= 0, axis=1)))], "clustering": [round(float(own.mean()), 6)], "diameter": [int(d.max())],
+            "deg_mean": [round(float(degree.mean()), 6)], "deg_std": [round(float(degree.std()), 6)], "deg_max": [int(degree.max())],
+        })
+
+    return edges.select("graph_id", "src", "dst").groupBy("graph_id").applyInPandas(run, "graph_id long, n_components long, clustering double, diameter long, deg_mean double, deg_std double, deg_max long")

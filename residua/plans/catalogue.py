@@ -11,7 +11,7 @@ from residua import constants as C
 from residua.functions import ranking, sequence as S, vectors as V
 from residua.operators import boundaries as B
 from residua.operators import cluster as K
-from residua.operators import curate, dedup, embed, encode, graphs, joins, pooling, topology
+from residua.operators import curate, dedup, embed, encode, extract, fragmenter, graphs, joins, layers, pooling, reports, topology
 from residua.plans import oracles as O
 from residua.session import checkpointed
 from residua.sources import tables as T
@@ -340,7 +340,10 @@ def q37_clustering_coeff(spark, sf_dir):
     return topology.clustering(T.residues(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {O.EDGES}, links AS (SELECT graph_id, src AS a, dst AS b FROM edges WHERE edge_type >= 3 OR type_name = 'peptide' UNION SELECT graph_id, dst, src FROM edges WHERE edge_type >= 3 OR type_name = 'peptide'), ends AS (SELECT graph_id, idx AS a FROM residues), {O.STEPS},
+    comp AS (SELECT graph_id, a, min(b) AS c FROM d6 GROUP BY ALL), sizes AS (SELECT graph_id, c, count(*) AS n FROM comp GROUP BY ALL),
+    s AS (SELECT graph_id, count(*) AS n_components, string_agg(n, ',' ORDER BY n DESC) AS sizes, sum(n) AS n FROM sizes GROUP BY graph_id)
+    SELECT graph_id, n_components, sizes, CASE WHEN n_components = 1 THEN max(d)::BIGINT END AS diameter, CASE WHEN n_components = 1 THEN round(sum(d) / (any_value(n) * (any_value(n) - 1)), 6) END AS mean_path FROM s JOIN d6 USING (graph_id) GROUP BY graph_id, n_components, sizes""")
 def q38_topology_paths(spark, sf_dir):
     return topology.path_report(T.residues(spark, sf_dir), _edges(spark, sf_dir).where("edge_type >= 3 or type_name = 'peptide'"))
 
@@ -408,7 +411,14 @@ def q41_stride_windows(spark, sf_dir):
     return _chains(spark, sf_dir).select("chain_id", F.explode(B.right_aligned(F.col("n"))).alias("w")).select("chain_id", "w.start", "w.end")
 
 
-@query()
+def _drawn(what: str, m: int) -> str:
+    return f"('0x' || substr(md5(chain_id || ':' || k || ':{what}'), 1, 8))::BIGINT % {m}"
+
+
+@query(f"""WITH {O.CHAINS}, k AS (SELECT chain_id, n, unnest(range(0, ceil(n / 10)::BIGINT + 1)) AS k FROM chains),
+    w AS (SELECT chain_id, n, k, sum(CASE WHEN k = 0 THEN 0 ELSE 10 + {_drawn('step', 11)} END) OVER (PARTITION BY chain_id ORDER BY k) AS start, 20 + {_drawn('size', 31)} AS size FROM k),
+    e AS (SELECT *, max(start + size) OVER (PARTITION BY chain_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM w)
+    SELECT chain_id, start::INT AS start, least(start + size, n)::INT AS "end" FROM e WHERE reached IS NULL OR reached < n""")
 def q41_random_windows(spark, sf_dir):
     return _chains(spark, sf_dir).select("chain_id", F.explode(B.random_windows(F.col("n"), F.col("chain_id"))).alias("w")).select("chain_id", "w.start", "w.end")
 
@@ -569,13 +579,17 @@ def q58_tokenise(spark, sf_dir):
     return T.sequences(spark, sf_dir).select("doc_id", F.array_join(S.tokens(F.col("seq")).cast("array<string>"), " ").alias("tokens"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT source AS file, sum(n_chars)::BIGINT AS size, row_number() OVER (ORDER BY sum(n_chars) DESC, source) AS k FROM documents GROUP BY source),
+    r AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS file, 0::BIGINT AS size, 0 AS worker, 0 AS place, [0, 0, 0, 0]::BIGINT[] AS loads, [0, 0, 0, 0]::INT[] AS held UNION ALL
+        SELECT f.k, f.file, f.size, q.p - 1, q.held[q.p], list_transform(range(1, 5), lambda i: q.loads[i] + CASE WHEN i = q.p THEN f.size ELSE 0 END), list_transform(range(1, 5), lambda i: q.held[i] + CASE WHEN i = q.p THEN 1 ELSE 0 END)
+        FROM (SELECT *, list_position(loads, list_min(loads))::INT AS p FROM r) q JOIN f ON f.k = q.k + 1)
+    SELECT file, size, worker, place FROM r WHERE k > 0""")
 def q59_lpt_packing(spark, sf_dir):
     files = T.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("file")).agg(F.sum("n_chars").alias("size"))
     return embed.lpt_packed(files, 4)
 
 
-@query()
+@query(f"WITH {O.LETTERS}, w AS (SELECT l.doc_id, l.len, md5(substr(s.seq, greatest(l.idx, 1), CASE WHEN l.idx = 0 THEN 2 ELSE 3 END)) AS h FROM letters l JOIN seqs s ON s.doc_id = l.doc_id) SELECT doc_id, any_value(len) AS n, round(sum((('0x' || substr(h, 1, 2))::INT / 255.0::DOUBLE)::FLOAT::DOUBLE), 6) AS first_sum FROM w GROUP BY doc_id")
 def q60_embedding_stub(spark, sf_dir):
     rows = embed.embedded(T.sequences(spark, sf_dir), "doc_id", embed.hash_model, None)
     return rows.select("doc_id", "n", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v[0]), 6).alias("first_sum"))
@@ -602,7 +616,12 @@ def q62_hit_rate(spark, sf_dir):
     return T.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), hits.alias("hits"), F.round(hits * 100.0 / F.count(F.lit(1)), 4).alias("hit_rate"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.EDGES.replace(O.RESIDUES, O.RESIDUES.replace('residues AS (', 'every AS (') + ', residues AS (SELECT * FROM every WHERE graph_id IN (SELECT graph_id FROM every GROUP BY graph_id HAVING count(*) <= 10))')},
+    strong AS MATERIALIZED (SELECT graph_id, src, dst, edge_type, type_name FROM edges WHERE edge_type >= 3), link AS (SELECT graph_id, src AS a, dst AS b FROM strong UNION SELECT graph_id, dst, src FROM strong),
+    reach AS (SELECT graph_id, idx AS a, idx AS b FROM residues UNION SELECT reach.graph_id, reach.a, link.b FROM reach JOIN link ON link.graph_id = reach.graph_id AND link.a = reach.b),
+    comp AS (SELECT graph_id, a AS idx, min(b) AS c FROM reach GROUP BY ALL), sizes AS (SELECT graph_id, c, count(*) AS n, min(idx) AS idx FROM comp GROUP BY ALL),
+    two AS (SELECT graph_id, min(idx) AS src, max(idx) AS dst, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, idx) AS r FROM sizes) WHERE r <= 2 GROUP BY graph_id)
+    SELECT * FROM strong UNION ALL SELECT graph_id, src, dst, 5, 'artificial' FROM two WHERE k = 2""")
 def q63_repaired_graphs(spark, sf_dir):
     # the repair is for short peptides, of ten residues at most
     rows = T.residues(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("graph_id"))).where("n <= 10")
@@ -663,3 +682,179 @@ def q70_graph_latents(spark, sf_dir):
 @query()
 def q71_principal_components(spark, sf_dir):
     return encode.principal(T.table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("vec_id", F.round(F.abs(F.col("components")[0]), 4).alias("pc1"), F.round(F.abs(F.col("components")[1]), 4).alias("pc2"))
+
+
+# ---- from chains to graphs ----
+
+
+@query(f'WITH RECURSIVE {O.CHAIN_FRAGMENTS} SELECT chain_id, start, "end", frag_id FROM frags')
+def q72_boundary_fragments(spark, sf_dir):
+    rows = T.chain_residues(spark, sf_dir)
+    return fragmenter.cut_by_boundaries(rows, fragmenter.cell_contacts(rows))
+
+
+@query(f"""WITH RECURSIVE {O.FRAGMENT_EDGES}, f AS (SELECT chain_id, count(*) AS fragments FROM frags GROUP BY ALL), g AS (SELECT chain_id, count(DISTINCT graph_id) AS successful, count(*) AS n_nodes FROM residues GROUP BY ALL),
+    e AS (SELECT split_part(graph_id, '_', 1)::BIGINT AS chain_id, count(*) AS n_edges FROM edges GROUP BY ALL), c AS (SELECT chain_id, count(*) AS n_contacts FROM con GROUP BY ALL)
+    SELECT chain_id, chains.n AS n_residues, chains.n AS known, coalesce(n_contacts, 0) AS n_contacts, coalesce(fragments, 0) AS fragments, coalesce(successful, 0) AS successful, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges,
+           coalesce(fragments, 0) - coalesce(successful, 0) AS failed FROM chains LEFT JOIN c USING (chain_id) LEFT JOIN f USING (chain_id) LEFT JOIN g USING (chain_id) LEFT JOIN e USING (chain_id)""")
+def q73_extraction_report(spark, sf_dir):
+    return extract.extracted(T.chain_residues(spark, sf_dir)).report
+
+
+@query(f"""WITH {O.CHAIN_RESIDUES}, m AS (SELECT chain_id, 0 AS pos FROM res UNION SELECT chain_id, n::INT FROM res UNION
+        SELECT chain_id, idx FROM (SELECT chain_id, idx, c, lag(c) OVER (PARTITION BY chain_id ORDER BY idx) AS p FROM (SELECT chain_id, idx, {O._SS} AS c FROM res)) WHERE p <> c),
+    p AS (SELECT chain_id, pos AS start, unnest([lead(pos, 1) OVER w, lead(pos, 2) OVER w]) AS "end" FROM m WINDOW w AS (PARTITION BY chain_id ORDER BY pos))
+    SELECT chain_id, start, "end" FROM p WHERE "end" - start BETWEEN 10 AND 50""")
+def q74_structure_runs(spark, sf_dir):
+    rows = T.chain_residues(spark, sf_dir)
+    return fragmenter.structure_runs(fragmenter.chains_of(rows), fragmenter.structure_changes(rows))
+
+
+@query()
+def q74_older_fragments(spark, sf_dir):
+    return fragmenter.older_fragments(T.chain_residues(spark, sf_dir))
+
+
+@query(f"""WITH {O.RESIDUES}, node AS (SELECT * FROM residues WHERE plddt >= 70), a AS (SELECT graph_id, idx, lead(idx) OVER (PARTITION BY graph_id ORDER BY idx) AS dst FROM node),
+    p AS (SELECT x.graph_id, x.idx AS i, y.idx AS j, sqrt((x.x - y.x) ** 2 + (x.y - y.y) ** 2 + (x.z - y.z) ** 2) AS d FROM node x JOIN node y ON x.graph_id = y.graph_id AND x.idx <> y.idx),
+    r AS (SELECT *, row_number() OVER (PARTITION BY graph_id, i ORDER BY round(d, 5), j) AS r FROM p)
+    SELECT graph_id, idx AS src, dst, 'peptide' AS type_name, 1.0 AS distance FROM a WHERE dst = idx + 1
+    UNION ALL SELECT graph_id, least(i, j), greatest(i, j), 'spatial', round(min(d), 5) FROM r WHERE r <= 8 AND d <= 8 AND abs(i - j) > 1 GROUP BY ALL""")
+def q75_older_graphs(spark, sf_dir):
+    return extract.older_graph_edges(T.residues(spark, sf_dir)).withColumn("distance", F.round("distance", 5))
+
+
+# ---- reports and curation ----
+
+_FINE = "round({} + 1e-9, 4) + 0.0"
+
+
+@query("WITH " + O.PLACED + ", " + O.NODES + ", long AS (" + " UNION ALL ".join(f"SELECT graph_id, '{s}' AS slice, f{k} AS v FROM nodes" for s, lo, hi in reports.NODE_SLICES for k in range(lo, hi)) + f") SELECT graph_id, slice, {_FINE.format('avg(v)')} AS mean, {_FINE.format('stddev_pop(v)')} AS std, {_FINE.format('min(v)')} AS least, {_FINE.format('max(v)')} AS most FROM long GROUP BY ALL")
+def q76_node_slices(spark, sf_dir):
+    return reports.node_slices(graphs.nodes(T.residues(spark, sf_dir)))
+
+
+@query("WITH " + O.PLACED + ", " + O.NODES + " " + " UNION ALL ".join(f"SELECT graph_id, {a} AS a, {b} AS b, CASE WHEN stddev_pop(f{a}) > 1e-9 AND stddev_pop(f{b}) > 1e-9 THEN {_FINE.format(f'corr(f{a}, f{b})')} END AS r FROM nodes GROUP BY graph_id" for i, a in enumerate(reports.CORRELATED) for b in reports.CORRELATED[i + 1 :]))
+def q76_node_correlations(spark, sf_dir):
+    return reports.node_correlations(graphs.nodes(T.residues(spark, sf_dir)))
+
+
+_NORM = "sqrt(dir_x ** 2 + dir_y ** 2)"
+
+
+@query(f"WITH {O.EDGES}, n AS (SELECT graph_id, count(*) AS n FROM residues GROUP BY ALL) SELECT graph_id, count(*) AS n_edges, " + ", ".join(f"{_FINE.format(f'avg((edge_type = {k})::INT) * 100')} AS share{k}" for k in range(4))
+    + ", " + ", ".join(f"{_FINE.format(f)} AS {name}" for f, name in (("avg(distance)", "distance_mean"), ("stddev_pop(distance)", "distance_std"), ("min(distance)", "distance_least"), ("max(distance)", "distance_most"), ("avg(strength)", "strength_mean"), ("stddev_pop(strength)", "strength_std"), (f"avg({_NORM})", "direction_mean")))
+    + f", round(stddev_pop({_NORM}) + 1e-9, 3) + 0.0 AS direction_std, round(count(*) / (any_value(n) * (any_value(n) - 1) / 2), 6) AS density FROM edges JOIN n USING (graph_id) GROUP BY graph_id")
+def q77_edge_report(spark, sf_dir):
+    rows = T.residues(spark, sf_dir)
+    return reports.edge_report(rows, graphs.edges(rows))
+
+
+@query(f"""WITH {O.EDGES}, links AS MATERIALIZED (SELECT graph_id, src AS a, dst AS b FROM edges UNION SELECT graph_id, dst, src FROM edges), ends AS (SELECT graph_id, a FROM links), {O.STEPS},
+    deg AS (SELECT graph_id, a, count(*) AS degree FROM links GROUP BY ALL), t AS (SELECT x.graph_id, x.a, count(*) AS t FROM links x JOIN links y ON x.graph_id = y.graph_id AND x.a = y.a AND x.b < y.b JOIN links z ON z.graph_id = x.graph_id AND z.a = x.b AND z.b = y.b GROUP BY ALL),
+    c AS (SELECT graph_id, round(avg(CASE WHEN degree > 1 THEN 2.0 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END), 6) AS clustering, round(avg(degree), 6) AS deg_mean, round(stddev_pop(degree), 6) AS deg_std, max(degree) AS deg_max FROM deg LEFT JOIN t USING (graph_id, a) GROUP BY graph_id),
+    k AS (SELECT graph_id, count(DISTINCT c) AS n_components, max(d) AS diameter FROM (SELECT graph_id, min(b) OVER (PARTITION BY graph_id, a) AS c, d FROM d6) GROUP BY graph_id)
+    SELECT graph_id, n_components, clustering, diameter::BIGINT AS diameter, deg_mean, deg_std, deg_max FROM c JOIN k USING (graph_id)""")
+def q78_graph_level(spark, sf_dir):
+    return topology.graph_level(_edges(spark, sf_dir))
+
+
+@query(f"""WITH {O.EDGES}, n AS (SELECT graph_id, count(*) AS n_nodes, count(*) FILTER ((graph_id + idx) % 29 = 0) AS bad_structure FROM residues GROUP BY ALL),
+    e AS (SELECT graph_id, src, CASE WHEN (graph_id + src) % 23 = 0 THEN dst + 1000 ELSE dst END AS dst, edge_type BETWEEN 0 AND 3 AS coded FROM edges)
+    SELECT graph_id, any_value(n_nodes) AS n_nodes, any_value(bad_structure) AS bad_structure, count(*) FILTER (NOT coded) AS bad_type, count(*) FILTER (dst >= n_nodes) AS bad_ends, count(*) FILTER (dst < n_nodes) AS valid_edges FROM e JOIN n USING (graph_id) GROUP BY graph_id""")
+def q79_schema_report(spark, sf_dir):
+    rows = T.residues(spark, sf_dir)
+    nodes = graphs.nodes(rows).withColumn("f29", F.when((F.col("graph_id") + F.col("idx")) % 29 == 0, F.col("f29") + 1).otherwise(F.col("f29")))
+    edges = graphs.edges(rows).withColumn("dst", F.when((F.col("graph_id") + F.col("src")) % 23 == 0, F.col("dst") + 1000).otherwise(F.col("dst")))
+    for k, slot in enumerate(graphs.edge_one_hot()):
+        edges = edges.withColumn(f"t{k}", slot)
+    return reports.schema_report(nodes, edges, ["f29", "f30", "f31"], [f"t{k}" for k in range(4)])
+
+
+@query(f"""WITH {O.EDGES}, g AS (SELECT graph_id, n, e FROM (SELECT graph_id, count(*) AS n FROM residues GROUP BY ALL) JOIN (SELECT graph_id, count(*) AS e FROM edges GROUP BY ALL) USING (graph_id)),
+    c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY md5(graph_id::VARCHAR), graph_id) AS k FROM g WHERE n BETWEEN 5 AND 50) WHERE k <= 10),
+    r AS (SELECT n, e, row_number() OVER (ORDER BY md5(graph_id::VARCHAR), graph_id) AS k, count(*) OVER () AS total FROM c),
+    s AS (SELECT n, e, CASE WHEN k <= floor(0.7::DOUBLE * total) THEN 'train' WHEN k <= floor(0.7::DOUBLE * total) + floor(0.2::DOUBLE * total) THEN 'val' ELSE 'test' END AS split FROM r)
+    SELECT split, count(*) AS n, round(avg(n) + 1e-9, 4) AS nodes_mean, round(stddev_pop(n) + 1e-9, 4) AS nodes_std, round(avg(e) + 1e-9, 4) AS edges_mean, round(stddev_pop(e) + 1e-9, 4) AS edges_std, min(n) AS nodes_least, max(n) AS nodes_most FROM s GROUP BY split""")
+def q80_curation_run(spark, sf_dir):
+    rows = T.residues(spark, sf_dir)
+    sizes = rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_nodes")).join(graphs.edges(rows).groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_edges")), "graph_id")
+    return curate.split_report(curate.curated(sizes, "n_nodes", F.md5(F.col("graph_id").cast("string")), F.col("graph_id"), cap=10), "n_nodes", "n_edges")
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER () AS n FROM documents) WHERE k <= least(greatest(floor(n * 0.1::DOUBLE), 10), n)")
+def q81_seeded_subset(spark, sf_dir):
+    return curate.subset(T.table(spark, sf_dir, "documents").select("doc_id"), F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), ratio=0.1)
+
+
+@query(f"WITH {O.PLACED}, {O.NODES} SELECT graph_id, count(*) FILTER (f29 = 1) AS helix, count(*) FILTER (f30 = 1) AS strand, count(*) FILTER (f31 = 1) AS coil, round(count(*) FILTER (f29 = 1) / greatest(count(*) FILTER (f30 = 1), 1), 4) AS helix_strand FROM nodes GROUP BY graph_id")
+def q82_structure_shares(spark, sf_dir):
+    return reports.structure_shares(graphs.nodes(T.residues(spark, sf_dir)))
+
+
+# ---- an embedding run ----
+
+
+@query("""WITH r AS (SELECT text AS sequence, CASE WHEN turn = 0 THEN role ELSE '' END AS named, 'conv' AS dataset, conv_id * 10000 + turn AS idx FROM conversations),
+    i AS (SELECT sequence, coalesce(nullif(named, ''), dataset || '_' || idx || '_' || substr(md5(sequence), 1, 8)) AS seq_id, idx FROM r WHERE length(sequence) > 0)
+    SELECT md5(sequence) AS seq_hash, seq_id, min(idx) AS idx FROM i GROUP BY sequence, seq_id""")
+def q83_sequence_ids(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "conversations").select(F.col("text").alias("sequence"), F.when(F.col("turn") == 0, F.col("role")).otherwise("").alias("named"), F.lit("conv").alias("dataset"), (F.col("conv_id") * 10000 + F.col("turn")).alias("idx"))
+    return reports.identified(rows, "sequence", ["named"], "dataset", "idx").select(F.md5("sequence").alias("seq_hash"), "seq_id", "idx")
+
+
+@query("SELECT source, count(*) AS total, count(d) AS cached, count(*) - count(d) AS to_compute FROM documents LEFT JOIN (SELECT doc_id AS d FROM labels UNION SELECT item_id FROM benchmark) ON d = doc_id GROUP BY source")
+def q84_embedding_plan(spark, sf_dir):
+    labels, items = T.table(spark, sf_dir, "labels").select("doc_id"), T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return reports.run_plan(T.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source", labels, items)
+
+
+@query("SELECT source, chunk, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, max(place)::INT AS last_index FROM (SELECT source, doc_id, place, place // 60 AS chunk FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS place FROM documents)) GROUP BY source, chunk")
+def q85_chunk_index(spark, sf_dir):
+    index = reports.chunk_index(T.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", "source", "n_chars", 60)
+    return index.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("original_index").alias("last_index"))
+
+
+@query("""SELECT id, file, n_chars, changed FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY changed DESC, file) AS k FROM
+    (SELECT md5(text) AS id, source AS file, n_chars, max(doc_id) OVER (PARTITION BY source) AS changed FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark))) WHERE k = 1""")
+def q86_newest_file(spark, sf_dir):
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("id"), F.col("source").alias("file"), "n_chars")
+    loaded = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    # a file's time is that of its rows that are left
+    left = docs.join(loaded, "doc_id", "left_anti")
+    changed = left.groupBy("file").agg(F.max("doc_id").alias("changed"))
+    return reports.newest(left.drop("doc_id").join(changed, "file"), ["id"], "changed", "file").select("id", "file", "n_chars", "changed")
+
+
+# ---- layers ----
+
+
+_BOTHWAYS = "bothways AS (SELECT graph_id, src, dst, distance FROM edges UNION ALL SELECT graph_id, dst, src, distance FROM edges)"
+
+
+@query(f"WITH {O.EDGES}, {_BOTHWAYS}, e AS (SELECT graph_id, src, dst, exp(-distance - max(-distance) OVER w) AS e FROM bothways WINDOW w AS (PARTITION BY graph_id, dst)) SELECT graph_id, src, dst, round(e / sum(e) OVER (PARTITION BY graph_id, dst) + 1e-9, 4) AS weight FROM e")
+def q87_edge_softmax(spark, sf_dir):
+    rows = pooling.edge_softmax(_edges(spark, sf_dir), -F.col("distance"))
+    return rows.select("graph_id", "src", "dst", F.round(F.col("weight") + 1e-9, 4).alias("weight"))
+
+
+@query(f"""WITH {O.EDGES}, {_BOTHWAYS}, s AS (SELECT e.graph_id, e.dst AS idx, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM bothways e JOIN residues a ON a.graph_id = e.graph_id AND a.idx = e.src JOIN residues b ON b.graph_id = e.graph_id AND b.idx = e.dst),
+    u AS (SELECT graph_id, idx, count(*) AS degree, avg(x / (sqrt(x * x + y * y + z * z) + 1e-6)) AS ux, avg(y / (sqrt(x * x + y * y + z * z) + 1e-6)) AS uy, avg(z / (sqrt(x * x + y * y + z * z) + 1e-6)) AS uz FROM s GROUP BY ALL)
+    SELECT graph_id, r.idx, coalesce(degree, 0) AS degree, {', '.join(f"round(coalesce({c}, 0) + 1e-9, 4) + 0.0 AS {c}" for c in ('ux', 'uy', 'uz'))} FROM residues r LEFT JOIN u USING (graph_id, idx)""")
+def q88_mean_directions(spark, sf_dir):
+    rows = T.residues(spark, sf_dir)
+    out = pooling.mean_directions(rows, graphs.edges(rows))
+    return out.select("graph_id", "idx", "degree", *((F.round(F.col(c) + 1e-9, 4) + 0.0).alias(c) for c in ("ux", "uy", "uz")))
+
+
+@query(f"WITH {_LONG}, n AS (SELECT label, vec_id, sqrt(sum(value ** 2)) AS n FROM long GROUP BY ALL), e AS (SELECT label, vec_id, exp(n - max(n) OVER (PARTITION BY label)) AS e FROM n) SELECT label, vec_id, round(e / sum(e) OVER (PARTITION BY label) + 1e-9, 5) AS weight FROM e")
+def q89_norm_attention(spark, sf_dir):
+    rows = pooling.norm_attention(K.long_form(T.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), "label", "vec_id")
+    return rows.select("label", "vec_id", F.round(F.col("weight") + 1e-9, 5).alias("weight"))
+
+
+@query()
+def q90_attention_layers(spark, sf_dir):
+    rows = T.residues(spark, sf_dir)
+    out = layers.over_graphs(encode.encoded(graphs.nodes(rows), graphs.edges(rows)), layers.stacked)
+    return out.select("graph_id", "place", F.round(F.col("h")[0], 4).alias("h0"), F.round(F.col("h")[1], 4).alias("h1"))

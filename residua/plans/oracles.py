@@ -71,3 +71,45 @@ vectors AS (SELECT graph_id, list_concat(list_concat([n::DOUBLE, (coalesce(e, 0)
 def hybrid(a: str, b: str) -> str:
     parts = [f"{w} / (1 + list_distance({a}[{s + 1}:{s + n}], {b}[{s + 1}:{s + n}]) / {scale})" for _, s, n, scale, w in C.VECTOR_SLICES]
     return f"greatest(0.0, least(1.0, {' + '.join(parts)}))"
+
+
+# ---- whole chains as residues, and their fragments ----
+
+CHAIN_RESIDUES = f"""{LETTERS}, res AS (SELECT doc_id AS chain_id, len AS n, idx, aa, round(2.3 * cos(radians(100.0 * idx)), 6) AS x, round(2.3 * sin(radians(100.0 * idx)), 6) AS y,
+    round(1.5 * idx, 6)::DOUBLE AS z, {PLDDT} FROM letters)"""
+# the helix rises by 1.5 at each residue, so contacts within 8 lie at most five residues ahead
+CHAIN_CONTACTS = """con AS MATERIALIZED (SELECT a.chain_id, a.idx AS i, b.idx AS j FROM (SELECT *, unnest([2, 3, 4, 5])::INT AS ahead FROM res) a
+    JOIN res b ON b.chain_id = a.chain_id AND b.idx = a.idx + a.ahead WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 8),
+    density AS (SELECT r.chain_id, r.n, r.idx, coalesce(c.k, 0) AS v FROM res r LEFT JOIN (SELECT chain_id, idx, count(*) AS k FROM (SELECT chain_id, i AS idx FROM con UNION ALL SELECT chain_id, j FROM con) GROUP BY ALL) c ON c.chain_id = r.chain_id AND c.idx = r.idx)"""
+
+
+def steep(name: str, source: str, floor: float, deviations: float) -> str:
+    """name(chain_id, idx): where v changes most along the chains of source(chain_id, n, idx, v)."""
+    return f"""{name}_s AS (SELECT chain_id, idx, CASE WHEN n < 200 THEN sum(v) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3
+            WHEN n < 250 THEN sum(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 ELSE sum(v) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 END AS s FROM {source} WINDOW w AS (PARTITION BY chain_id ORDER BY idx)),
+    {name}_g AS (SELECT chain_id, idx, abs(CASE WHEN lag(s) OVER w IS NULL THEN lead(s) OVER w - s WHEN lead(s) OVER w IS NULL THEN s - lag(s) OVER w ELSE (lead(s) OVER w - lag(s) OVER w) / 2 END) AS g FROM {name}_s WINDOW w AS (PARTITION BY chain_id ORDER BY idx)),
+    {name}_n AS (SELECT chain_id, idx, CASE WHEN max(g) OVER u > 0 THEN g / max(g) OVER u ELSE 0 END AS norm FROM {name}_g WINDOW u AS (PARTITION BY chain_id)),
+    {name} AS MATERIALIZED (SELECT chain_id, idx FROM (SELECT *, greatest({floor}, avg(norm) OVER u + {deviations} * stddev_pop(norm) OVER u) AS bound FROM {name}_n WINDOW u AS (PARTITION BY chain_id)) WHERE norm > bound)"""
+
+
+# goes behind WITH RECURSIVE
+CHAIN_FRAGMENTS = f"""{CHAIN_RESIDUES}, {CHAIN_CONTACTS}, {steep('dom', 'density', 0.2, 1.0)}, {steep('flx', '(SELECT chain_id, n, idx, plddt AS v FROM res)', 0.3, 0.5)},
+    kept AS (SELECT chain_id, min(idx) AS pos FROM dom GROUP BY chain_id UNION ALL SELECT kept.chain_id, min(dom.idx) FROM kept JOIN dom ON dom.chain_id = kept.chain_id AND dom.idx - kept.pos >= 5 GROUP BY kept.chain_id),
+    chg AS (SELECT chain_id, idx FROM (SELECT chain_id, idx, c, lag(c) OVER (PARTITION BY chain_id ORDER BY idx) AS p FROM (SELECT chain_id, idx, {_SS} AS c FROM res)) WHERE p <> c),
+    chains AS (SELECT doc_id AS chain_id, len AS n FROM seqs),
+    bs AS (SELECT chain_id, pos FROM kept UNION SELECT chain_id, idx FROM flx UNION SELECT chain_id, idx FROM chg UNION SELECT chain_id, unnest(range(0, n + 1, 50))::INT FROM chains UNION SELECT chain_id, n::INT FROM chains),
+    gaps AS (SELECT chain_id, pos AS start, lead(pos) OVER (PARTITION BY chain_id ORDER BY pos) AS "end" FROM bs),
+    good AS (SELECT * FROM gaps WHERE "end" - start BETWEEN 5 AND 50),
+    bare AS (SELECT chain_id, s::INT AS start, least(s + 50, n)::INT AS "end", n FROM (SELECT chain_id, n, unnest(range(0, greatest(n, 1), 25)) AS s FROM chains WHERE chain_id NOT IN (SELECT chain_id FROM good))),
+    frags AS MATERIALIZED (SELECT chain_id, start, "end", (start + 1) || '-' || "end" AS frag_id FROM (SELECT chain_id, start, "end" FROM good UNION ALL SELECT chain_id, start, "end" FROM bare WHERE "end" - start >= 5 AND (start = 0 OR start + 25 < n)))"""
+_MEMBERS = """members AS (SELECT f.chain_id || '_' || f.frag_id AS graph_id, f.chain_id, r.idx, r.aa, r.x, r.y, r.z, r.plddt FROM (SELECT chain_id, frag_id, unnest(range(start, "end"))::INT AS idx FROM frags) f JOIN res r ON r.chain_id = f.chain_id AND r.idx = f.idx)"""
+FRAGMENT_EDGES = EDGES.replace(
+    RESIDUES,
+    f"""{CHAIN_FRAGMENTS}, {_MEMBERS}, residues AS MATERIALIZED (SELECT graph_id, chain_id, idx, aa, x, y, z, plddt FROM (SELECT *, count(*) OVER (PARTITION BY graph_id) AS left_over FROM
+        (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY graph_id) AS size FROM members) WHERE plddt >= CASE WHEN size <= 10 THEN 50 ELSE 70 END)) WHERE left_over >= 2)""",
+)
+
+# the shortest paths between all pairs, by six doublings: enough for chains of 64 steps
+STEPS = "d0 AS MATERIALIZED (SELECT graph_id, a, b, min(d) AS d FROM (SELECT graph_id, a, b, 1 AS d FROM links UNION ALL SELECT DISTINCT graph_id, a, a, 0 FROM ends) GROUP BY ALL), " + ", ".join(
+    f"d{k + 1} AS MATERIALIZED (SELECT x.graph_id, x.a, y.b, min(x.d + y.d) AS d FROM d{k} x JOIN d{k} y ON y.graph_id = x.graph_id AND y.a = x.b GROUP BY ALL)" for k in range(6)
+)

@@ -34,3 +34,8 @@ def residues(spark: SparkSession, sf_dir: str, chains: DataFrame | None = None)
         "graph_id", "idx", "aa", F.round(2.3 * F.cos(angle), 6).alias("x"), F.round(2.3 * F.sin(angle), 6).alias("y"),
         F.round(1.5 * F.col("idx"), 6).alias("z"), (50 + (F.ascii(aa) * 7 + F.col("idx") * 13) % 50).cast("double").alias("plddt"),
     )
+
+
+def chain_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residues of the whole chains, with chain_id for graph_id."""
+    return residues(spark, sf_dir, sequences(spark, sf_dir)).withColumnRenamed("graph_id", "chain_id")
