@@ -16,12 +16,16 @@ def new_sequences(spark: SparkSession, folder: str, late: str = "1 day") -> Data
 
 
 def write_new(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append what target doesn't hold yet; a batch that runs again adds nothing."""
+    """Append the ids that no other batch of target holds, so none comes back behind the watermark either; a batch that runs
+    again replaces itself. Of target the ids alone are read."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = f"{target}/batch={number}"
-        batch.write.mode("overwrite").parquet(path)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            held = spark.read.schema("seq_id string, batch int").option("basePath", target).parquet(target).where(F.col("batch") != number)
+            batch = batch.join(held.select("seq_id"), "seq_id", "left_anti")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
