@@ -13,8 +13,9 @@ piece. The number of pieces of each length (at most `size` numbers, however larg
    last place of a sequence the longest that fits what the others leave.
 4. Small pieces, longest first, go where they fit best; sequences are opened only when no place is left.
 
-Several group numbers are tried and the plan with fewest sequences is used. Pieces get their places by rank within (length,
-salt), so one length may hold any share of the pieces.
+Several group numbers are tried and the plan with fewest sequences is used. Pieces of a whole sequence are sequences by
+themselves and need no rank. The others get their places by rank within (length, salt); a length has as many salts as its
+pieces need, so it may hold any share of them and a group stays of a size however large the corpus is.
 
 Defined cases: a null text counts as empty and is one piece, the end id alone. Repeated rows are packed each. An empty table
 gives no rows. Equal ids are told apart by their row.
@@ -38,7 +39,8 @@ from .common import KEY, keyed, settle
 
 SIZE = 2048
 END = 0
-SALTS = 256
+#: Pieces of one length that a group of ranks holds, about.
+PER_SALT = 1 << 18
 GROUPS = (12, 24, 36)
 
 
@@ -241,24 +243,40 @@ def cut(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -> D
     return rows.mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) -> DataFrame:
-    """Every piece with its sequence_id and offset."""
-    spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64(*KEY, "piece"), F.lit(SALTS)).cast("int")
-    pieces, _ = settle(cut(docs, vocabulary, size, end).withColumn("salt", salt), "pack-pieces")
-    # at most size * SALTS rows, whatever the corpus
-    counted = pieces.groupBy("length", "salt").count().toArrow().to_pandas().sort_values(["length", "salt"])
-    counted["base"] = counted.groupby("length")["count"].cumsum() - counted["count"]
-    where = places(plan({int(n): int(c) for n, c in counted.groupby("length")["count"].sum().items()}, size))
-    base = np.zeros((size + 1, SALTS), np.int64)
-    base[counted["length"], counted["salt"]] = counted["base"]
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
 
-    ranked = pieces.withColumn("rank", F.expr(f"row_number() over (partition by length, salt order by {', '.join(KEY)}, piece) - 1").cast("long"))
+def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, per_salt: int = PER_SALT) -> DataFrame:
+    """Every piece with its sequence_id and offset. Planned sequences count from 0, those of one whole piece down from -1."""
+    spark = docs.sparkSession
+    pieces, _ = settle(cut(docs, vocabulary, size, end), "pack-pieces")
+    whole = pieces.where(F.col("length") == size).drop(*KEY)
+    whole = whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    short = pieces.where(F.col("length") < size)
+    # at most `size` rows
+    counts = {r["length"]: r["count"] for r in short.groupBy("length").count().collect()}
+    if not counts:
+        return whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    where = places(plan(counts, size))
+    salts = np.zeros(size + 1, np.int64)
+    for n, c in counts.items():
+        salts[n] = 1 + c // per_salt
+    first = np.cumsum(salts) - salts
+    each = F.broadcast(spark.createDataFrame([(n, int(salts[n]), int(first[n])) for n in counts], "length long, salts long, first long"))
+    salted = short.join(each, "length").withColumn("salt", F.col("first") + F.pmod(F.xxhash64(*KEY, "piece"), F.col("salts"))).drop("salts", "first")
+    # at most a row for each length and another for each per_salt pieces; salts are numbered through all lengths
+    counted = salted.groupBy("salt").count().toArrow()
+    held = np.zeros(int(salts.sum()), np.int64)
+    held[counted["salt"].to_numpy()] = counted["count"].to_numpy()
+    before = np.append(0, np.cumsum(held))
+    base = before[:-1] - before[np.repeat(first, salts)]
+
+    ranked = salted.withColumn("rank", F.expr(f"row_number() over (partition by length, salt order by {', '.join(KEY)}, piece) - 1").cast("long"))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            rank = rank + base[length, batch["salt"].to_numpy()]
+            rank = rank + base[batch["salt"].to_numpy()]
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
@@ -268,6 +286,4 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END) ->
                 offset[own] = runs[at, 2]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    if not where:
-        return spark.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(put, PLACED).unionByName(whole)

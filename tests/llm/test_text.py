@@ -172,6 +172,15 @@ def test_packing(docs, edge, empty):
     assert packing.pack(empty, VOCABULARY).count() == 0
 
 
+def test_packing_in_many_groups_and_of_whole_pieces_alone(spark, docs):
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    check_packing(packing.pack(docs, VOCABULARY, 64, per_salt=3).collect(), texts, 64)
+    few = [(1, "a few words"), (2, None), (2, "a")]
+    rows = packing.pack(spark.createDataFrame(few, "doc_id long, text string"), VOCABULARY, 1).collect()
+    places = sorted(r.sequence_id for r in rows)
+    assert len(rows) == len(set(places)) == 3 + 1 + 1 + 1 + 1 and all(r.offset == 0 and r.length == 1 for r in rows)
+
+
 def test_plan_is_near_the_bound():
     rng = np.random.default_rng(0)
     counts = Counter(np.minimum(rng.gamma(1.2, 500, 50_000).astype(int) + 5, 2048).tolist())
