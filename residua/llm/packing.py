@@ -14,8 +14,8 @@ piece. The number of pieces of each length (at most `size` numbers, however larg
 4. Small pieces, longest first, go where they fit best; sequences are opened only when no place is left.
 
 Several group numbers are tried and the plan with fewest sequences is used. Pieces of a whole sequence are sequences by
-themselves and need no rank. The others get their places by rank within (length, salt); a length has as many salts as its
-pieces need, so it may hold any share of them and a group stays of a size however large the corpus is.
+themselves and need no rank. The others get their places by rank within (length, salt); a length that holds many
+pieces, or over a thousandth of all, is split by as many salts as that needs, so a group stays small whatever the corpus.
 
 Defined cases: a null text counts as empty and is one piece, the end id alone. Repeated rows are packed each. An empty table
 gives no rows. Equal ids are told apart by their row.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .bpe import ByteBpe
-from .common import KEY, keyed, settle
+from .common import KEY, SHARES, keyed, settle
 
 SIZE = 2048
 END = 0
@@ -258,13 +258,13 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, end: int = END, per
     if not counts:
         return whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     where = places(plan(counts, size))
-    salts = np.zeros(size + 1, np.int64)
+    salts, total = np.zeros(size + 1, np.int64), sum(counts.values())
     for n, c in counts.items():
-        salts[n] = 1 + c // per_salt
+        salts[n] = 1 + max(c // per_salt, c * SHARES // total)
     first = np.cumsum(salts) - salts
     each = F.broadcast(spark.createDataFrame([(n, int(salts[n]), int(first[n])) for n in counts], "length long, salts long, first long"))
     salted = short.join(each, "length").withColumn("salt", F.col("first") + F.pmod(F.xxhash64(*KEY, "piece"), F.col("salts"))).drop("salts", "first")
-    # at most a row for each length and another for each per_salt pieces; salts are numbered through all lengths
+    # a row for each length, another for each per_salt pieces and SHARES more at most; salts are numbered through all lengths
     counted = salted.groupBy("salt").count().toArrow()
     held = np.zeros(int(salts.sum()), np.int64)
     held[counted["salt"].to_numpy()] = counted["count"].to_numpy()
