@@ -353,6 +353,24 @@ def test_licence_classifier_on_held_out_examples():
     assert model.names[bare.argmax()] == license_scan.UNKNOWN
 
 
+def test_licence_names_in_forms_not_trained_on(spark):
+    model = license_scan.classifier()
+    assert not set(license_scan.TEST_FORMS) & {*license_scan.FORMS, *license_scan.CALIBRATION_FORMS}
+    held = license_scan._notices(license_scan.TEST_FORMS)
+    p = model._softmax((model._matrix(held) @ model.weights + model.bias) / model.temperature)
+    right = sum(model.names[p[k].argmax()] == c for k, (_, c) in enumerate(held))
+    assert right >= 0.97 * len(held) and len(model.names) == 17
+    lines = [
+        ("Distributed under GPLv3 or later.", "gpl"), ("MIT, see file.", "mit"), ("This is free software under the terms of the GNU GPL.", "gpl"), ("SPDX: Apache-2.0", "apache"),
+        ("The terms of the old treaty are available, see the file.", "unknown"), ("The general public was let in or later thrown out.", "unknown"),
+    ]
+    frame = spark.createDataFrame([(k, f"Some prose.\n\n{t}\n\nMore") for k, (t, _) in enumerate(lines)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.license_report(frame).collect()}
+    for k, (text, family) in enumerate(lines):
+        p = model._softmax((model._matrix([(license_scan.words_in(text), "")]) @ model.weights + model.bias) / model.temperature)[0]
+        assert rows[k].family == family and (family == "unknown" or round(rows[k].probability, 5) == round(p.max(), 5))
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.toxicity_report(common.documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")).where("held_out").toPandas()
