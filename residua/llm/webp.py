@@ -2,7 +2,8 @@
 
 Pixels are rows of 32-bit ARGB. The reader knows simple and canonical prefix codes, meta prefix codes, back-references with
 two-dimensional distances, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms. A picture
-that is coded in green literals alone, as write() makes them by default, is read in bulk.
+of green literals and back-references, as write_greens makes them, is read in bulk: what each bit position would stand for is
+found for all at once. write_greens uses a palette and back-references where they make the file smaller.
 """
 
 from __future__ import annotations
@@ -147,20 +148,45 @@ def _extended(r: BitReader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + r.bits(extra) + 1
 
 
-def _plain_greens(r: BitReader, group: list[PrefixCode], n: int) -> np.ndarray | None:
-    """All pixels at once, where only green varies and every symbol is a literal; else None, and nothing is read."""
-    green, red, blue, alpha = group[:4]
+def _extended_at(peek, at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_extended for many places: the numbers, and where their extra bits end."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + (peek(at) & ((1 << extra) - 1)) + 1), at + extra
+
+
+def _greens(r: BitReader, group: list[PrefixCode], n: int, width: int) -> np.ndarray | None:
+    """All pixels at once, where only green varies and no cache is used; else None, and nothing is read."""
+    green, red, blue, alpha, far = group
     if green.single is not None or None in (red.single, blue.single, alpha.single):
         return None
     start = r.position()
     data = np.frombuffer(r.data[start >> 3 :], np.uint8)
     wide = np.zeros(len(data) + 6, np.uint32)
     wide[: len(data)] = data
-    wide = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16
+    wide = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
     window = (wide[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1) & ((1 << green.bits) - 1)
     # where the symbol after the one at each bit begins; then eight symbols at a step
     last = len(window) - 1
     one = np.minimum(np.arange(len(window)) + green.length[window], last)
+
+    def peek(at: np.ndarray) -> np.ndarray:
+        """25 bits and more from each place."""
+        at = np.minimum(at, last)
+        return (wide[at >> 3] >> (at & 7).astype(np.uint32)).astype(np.int64)
+
+    def copies(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths and distance codes of the back-references at these places, and where they end."""
+        length, p = _extended_at(peek, at + green.length[window[at]], green.symbol[window[at]] - 256)
+        if far.single is not None:
+            prefix = np.full(len(at), far.single)
+        else:
+            k = peek(p) & ((1 << far.bits) - 1)
+            prefix, p = far.symbol[k], p + far.length[k]
+        return length, *_extended_at(peek, p, prefix)
+
+    if has_copies := bool((green.symbol >= 256).any()):
+        maybe = np.flatnonzero((green.symbol >= 256)[window])
+        one[maybe] = np.minimum(copies(maybe)[2], last)
     two = one[one]
     four = two[two]
     eight = four[four]
@@ -168,19 +194,50 @@ def _plain_greens(r: BitReader, group: list[PrefixCode], n: int) -> np.ndarray |
     for _ in range(-(-n // 8)):
         heads.append(p)
         p = eight[p]
+        if p == last:
+            break
     at = np.array(heads)
     for skip in (four, two, one):
         at = np.stack([at, skip[at]], axis=1).reshape(-1)
-    at = at[:n]
-    p = int(at[-1] + green.length[window[at[-1]]])
+    symbols = green.symbol[window[at]]
+    counts = np.ones(len(at), np.int64)
+    if has_copies:
+        copied = np.flatnonzero(symbols >= 256)
+        lengths, codes, ends = copies(at[copied])
+        counts[copied] = lengths
+    past = np.cumsum(counts)
+    k = int(np.searchsorted(past, n))
+    if k == len(past):
+        raise ValueError("the picture ends early")
+    if past[k] != n:
+        raise ValueError("a back-reference leaves the picture")
+    p = int(at[k] + green.length[window[at[k]]])
+    if symbols[k] >= 256:
+        p = int(ends[np.searchsorted(copied, k)])
     if p > len(data) * 8:
         raise ValueError("the picture ends early")
-    symbols = green.symbol[window[at]]
-    if (symbols >= 256).any():
-        return None
+    out = np.zeros(n, np.uint32)
+    literal = np.flatnonzero(symbols[: k + 1] < 256)
+    out[past[literal] - 1] = symbols[literal]
+    if has_copies:
+        own = copied <= k
+        for to, length, code in zip((past - counts)[copied[own]].tolist(), lengths[own].tolist(), codes[own].tolist()):
+            back = _distance(code, width)
+            if back > to:
+                raise ValueError("a back-reference leaves the picture")
+            seed = out[to - back : to - back + min(back, length)]
+            out[to : to + length] = seed if back >= length else np.resize(seed, length)
     r.at, r.value, r.held = (start >> 3) + (p >> 3), 0, 0
     r.bits(p & 7)
-    return symbols.astype(np.uint32) << 8 | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
+    return out << 8 | np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
+
+
+def _distance(code: int, width: int) -> int:
+    """Pixels back."""
+    if code > len(NEAR):
+        return code - len(NEAR)
+    dx, dy = NEAR[code - 1]
+    return max(1, dx + dy * width)
 
 
 def _read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -196,7 +253,7 @@ def _read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarra
         groups = int(meta.max()) + 1
     codes = [[_read_code(r, n) for n in (256 + 24 + len(cache), 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if not cache and groups == 1 and (plain := _plain_greens(r, codes[0], n)) is not None:
+    if not cache and groups == 1 and (plain := _greens(r, codes[0], n, width)) is not None:
         return plain.reshape(height, width)
     out, group = [], codes[0]
     while len(out) < n:
@@ -209,12 +266,7 @@ def _read_pixels(r: BitReader, width: int, height: int, main: bool) -> np.ndarra
             new = [alpha << 24 | red << 16 | s << 8 | blue]
         elif s < 280:
             length = _extended(r, s - 256)
-            far = _extended(r, r.symbol(group[4]))
-            if far > len(NEAR):
-                back = far - len(NEAR)
-            else:
-                dx, dy = NEAR[far - 1]
-                back = max(1, dx + dy * width)
+            back = _distance(_extended(r, r.symbol(group[4])), width)
             if back > len(out) or len(out) + length > n:
                 raise ValueError("a back-reference leaves the picture")
             seed = out[len(out) - back : len(out) - back + min(back, length)]
@@ -343,6 +395,8 @@ def read(data: bytes) -> np.ndarray:
         else:
             undo.append((kind, None, 0))
     p = _read_pixels(r, now, height, True)
+    if r.position() > 8 * len(r.data):
+        raise ValueError("the picture ends early")
     for kind, own, n in reversed(undo):
         if kind == PREDICTOR:
             p = _predictor(p, own, n, True)
@@ -531,21 +585,129 @@ def write_tokens(width: int, height: int, tokens: list[Token], transforms: list[
     return _file(w)
 
 
+#: Fewer samples than this aren't looked through for repeats, and no copy is shorter than LEAST_COPY.
+LEAST_SEARCHED, LEAST_COPY, MOST_COPY = 256, 24, 4096
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def repeats(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of the copies that a pass from left to right takes, each from the last place with the same 24 samples."""
+    none = (np.zeros(0, np.int64),) * 3
+    n = len(flat)
+    if n < LEAST_SEARCHED:
+        return none
+    w = flat.astype(np.uint64)
+    for k in (1, 2, 4):
+        w = w[:-k] | w[k:] << np.uint64(8 * k)
+    m = n - LEAST_COPY + 1
+    key = sum(w[8 * k : 8 * k + m] * np.uint64(_MIX[k]) for k in range(3))
+    ordered = np.sort(key)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return none
+    # only the keys that occur again are put in order with their places
+    again = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+    order = again[np.argsort(key[again], kind="stable")]
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(m, -1, np.int64)
+    before[order[same + 1]] = order[same]
+    places = np.flatnonzero(before >= 0)
+    found, at, k = [], 0, 0
+    while (k := int(np.searchsorted(places, at))) < len(places):
+        at = int(places[k])
+        source = int(before[at])
+        most = min(MOST_COPY, n - at)
+        # short stretches first: most repeats end soon
+        length = 0
+        for size in (64, most):
+            differ = np.flatnonzero(flat[at : at + min(size, most)] != flat[source : source + min(size, most)])
+            length = int(differ[0]) if len(differ) else min(size, most)
+            if len(differ):
+                break
+        if length >= LEAST_COPY and at - source <= (1 << 20) - len(NEAR):
+            found.append((at, length, at - source))
+            at += length
+        else:
+            at += 1
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
+def _prefixes_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix_of for many numbers."""
+    v = value - 1
+    extra = np.where(v < 4, 0, np.floor(np.log2(np.maximum(v, 1))).astype(np.int64) - 1)
+    return np.where(v < 4, v, 2 * (extra + 1) + ((v >> extra) & 1)), v & ((1 << extra) - 1), extra
+
+
+def _green_body(w: BitWriter, flat: np.ndarray, copies: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Opaque pixels by their green samples: one group of codes, no cache; copies as repeats() gives them."""
+    w.bits(0, 2)
+    places, lengths, distances = copies
+    kept = np.ones(len(flat), bool)
+    if len(places):
+        edge = np.zeros(len(flat) + 1, np.int64)
+        np.add.at(edge, places, 1)
+        np.add.at(edge, places + lengths, -1)
+        kept = np.cumsum(edge[:-1]) == 0
+    size, far = _prefixes_of(lengths), _prefixes_of(distances + len(NEAR))
+    # one event for each literal and each copy, in order; a copy has four parts
+    at = np.flatnonzero(kept)
+    order = np.argsort(np.concatenate([at, places]), kind="stable") if len(places) else slice(None)
+    events = np.concatenate([flat[at].astype(np.int64), 256 + size[0]])[order]
+    greens = code_lengths(np.bincount(events, minlength=280), 12)
+    fars = code_lengths(np.bincount(far[0], minlength=40))
+    _write_code(w, greens)
+    for only in (0, 0, 255):
+        w.bits(1 | 4 | only << 3, 11)
+    _write_code(w, fars)
+    if (greens > 0).sum() < 2:
+        return
+    codes = canonical(greens)
+    if not len(places):
+        w.many(codes[events], greens[events])
+        return
+    several = (fars > 0).sum() > 1
+    values, sizes = np.zeros((len(events), 4), np.int64), np.zeros((len(events), 4), np.int64)
+    values[:, 0], sizes[:, 0] = codes[events], greens[events]
+    copy = np.flatnonzero(events >= 256)
+    values[copy, 1], sizes[copy, 1] = size[1], size[2]
+    if several:
+        values[copy, 2], sizes[copy, 2] = canonical(fars)[far[0]], fars[far[0]]
+    values[copy, 3], sizes[copy, 3] = far[1], far[2]
+    some = sizes.reshape(-1) > 0
+    w.many(values.reshape(-1)[some], sizes.reshape(-1)[some])
+
+
 def write_greens(samples: np.ndarray) -> bytes:
-    """A file of 8-bit samples (rows, columns) in the green part of opaque pixels, by one prefix code."""
-    w = BitWriter()
+    """A file of 8-bit samples (rows, columns) in the green part of opaque pixels: with a palette where that is smaller, and with copies where they should pay."""
     height, width = samples.shape
-    head = (width - 1) | (height - 1) << 14
-    w.bits(head, 32)
-    w.bits(0, 3)  # no transform, no colour cache, one group of codes
-    flat = samples.reshape(-1)
-    counts = np.zeros(280, np.int64)
-    counts[:256] = np.bincount(flat, minlength=256)
-    lengths = code_lengths(counts, 12)
-    _write_code(w, lengths)
-    for only in (0, 0, 255, 0):
-        w.bits(1 | 4 | only << 3, 11)
-    if (lengths > 0).sum() > 1:
-        codes = canonical(lengths)
-        w.many(codes[flat], lengths[flat])
-    return _file(w)
+    kinds = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256))
+
+    def file(flat: np.ndarray, copies, palette: bool) -> bytes:
+        w = BitWriter()
+        w.bits((width - 1) | (height - 1) << 14, 32)
+        if palette:
+            table = np.uint32(BLACK) | kinds.astype(np.uint32) << np.uint32(8)
+            w.bits(1 | PALETTE << 1, 3)
+            w.bits(len(kinds) - 1, 8)
+            _write_tokens(w, [("pixel", p) for p in _whole(np.diff(_parts(table).astype(int), axis=0, prepend=0) & 255)], 0, False)
+        w.bits(0, 1)
+        _green_body(w, flat, copies)
+        return _file(w)
+
+    forms = [(samples.reshape(-1), False)]
+    if 1 < len(kinds) <= 16:
+        bits = _bundle(len(kinds))
+        per, each = 1 << bits, 8 >> bits
+        index = np.zeros((height, -(-width // per) * per), np.int64)
+        index[:, :width] = np.searchsorted(kinds, samples)
+        forms.append(((index.reshape(height, -1, per) << (np.arange(per) * each)).sum(axis=2).astype(np.uint8).reshape(-1), True))
+    files = []
+    for flat, palette in forms:
+        copies = repeats(flat)
+        # a copy takes about 40 bits, its codes 256; a literal what the plain code would give it
+        share = np.bincount(flat) / len(flat)
+        literal = -(share[share > 0] * np.log2(share[share > 0])).sum()
+        pays = (literal * copies[1] - 40).sum() > 256
+        files.append(file(flat, copies if pays else (np.zeros(0, np.int64),) * 3, palette))
+    return min(files, key=len)

@@ -39,6 +39,35 @@ def test_payload_round_trip(size, kinds):
     assert b"".join(p.tobytes() for p in media.load(media.store(payload))) == payload
 
 
+def slow(data, monkeypatch):
+    """The file as the reader for one symbol at a time sees it."""
+    with monkeypatch.context() as m:
+        m.setattr(webp, "_greens", lambda *_: None)
+        return webp.read(data)
+
+
+@pytest.mark.parametrize("case", ["two kinds", "few kinds", "lines", "one byte", "text", "long run"])
+def test_written_with_palettes_and_copies(case, monkeypatch):
+    rng = np.random.default_rng(3)
+    line = rng.integers(32, 127, 90).astype(np.uint8).tobytes()
+    text = {
+        "two kinds": rng.integers(65, 67, 3000).astype(np.uint8).tobytes(), "few kinds": rng.integers(65, 75, 3000).astype(np.uint8).tobytes(),
+        "lines": b"".join(line + rng.integers(32, 127, int(n)).astype(np.uint8).tobytes() for n in rng.integers(0, 200, 60)), "one byte": b"a" * 5000 + b"b",
+        "text": b" ".join(b"word%d" % k for k in rng.integers(0, 40, 4000)), "long run": rng.integers(0, 256, 300).astype(np.uint8).tobytes() * 60,
+    }[case]
+    samples = np.frombuffer(media.payload_of(text), np.uint8).reshape(-1, 64)
+    stored = webp.write_greens(samples)
+    for got in (webp.read(stored), slow(stored, monkeypatch)):
+        assert ((got >> 8 & 255) == samples).all() and (got & 0xFFFF00FF == 0xFF000000).all()
+    counts = np.bincount(samples.reshape(-1))
+    plain = (counts * webp.code_lengths(counts, 12)).sum() / 8
+    # "two kinds" and "few kinds" hold nought too, the filling
+    assert len(stored) < (0.99 if "kinds" in case else 0.7) * plain + 60
+    for cut in (stored[:40], stored[: len(stored) // 2]):
+        with pytest.raises((ValueError, IndexError)):
+            webp.read(cut)
+
+
 def test_payload_over_a_picture():
     payload = media.payload_of(bytes(range(256)) * 4200)
     stored = media.store(payload)
