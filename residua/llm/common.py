@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE, ROW = "_rsd_file", "_rsd_row"
@@ -76,23 +76,41 @@ def guarded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame
     return docs.toDF(*(f"own{k}{c}" if c.lower().startswith("_rsd_") else c for k, c in enumerate(names))), lambda out: out.toDF(*names)
 
 
-def heavy_keys(counts: DataFrame, on: list[str], n: str, shares: int = SHARES) -> tuple[DataFrame, int]:
-    """Keys that hold over 1 / shares of all rows, with the parts into which each is to be split, and the rows in all.
+#: The keys of a join that hold very many rows: (bits of a key's hash, parts), at most SHARES of them.
+Heavy = list[tuple[int, int]]
+
+
+def heavy_keys(counts: DataFrame, on: list[str], n: str, shares: int = SHARES) -> tuple[Heavy, int]:
+    """Keys that hold over 1 / shares of all rows, with the parts (a power of two) into which each is to be split, and the rows
+    in all.
 
     counts has one row for each key and its number n of rows, so at most `shares` keys come out, whatever the data.
     """
     total = counts.agg(F.sum(n)).first()[0] or 0
     share = max(1, total // shares)
-    return counts.where(F.col(n) > share).select(*on, F.ceil(F.col(n) / share).cast("int").alias("_rsd_parts")), total
+    found = counts.where(F.col(n) > share).select(_bits(on).alias("bits"), F.ceil(F.col(n) / share).cast("int").alias("parts")).collect()
+    return [(r.bits, 1 << (r.parts - 1).bit_length()) for r in found], total
+
+
+def _bits(on: list[str]) -> Column:
+    return F.shiftright(F.xxhash64(*on), 1)
+
+
+def _parts(on: list[str], heavy: Heavy) -> Column:
+    """The parts of a row's key. They follow from the key alone, so both sides of a join have the same and need no lookup."""
+    sizes: dict[int, list[str]] = {}
+    for bits, parts in heavy:
+        sizes.setdefault(parts, []).append(f"{bits}L")
+    key = f"shiftright(xxhash64({', '.join(f'`{c}`' for c in on)}), 1)"
+    return F.expr("CASE " + " ".join(f"WHEN {key} IN ({', '.join(sizes[p])}) THEN {p}" for p in sorted(sizes, reverse=True)) + " ELSE 1 END") if sizes else F.lit(1)
 
 
-def spread_join(large: DataFrame, small: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+def spread_join(large: DataFrame, small: DataFrame, on: list[str], heavy: Heavy) -> DataFrame:
     """Inner join of large with small, which has each key once. The rows of heavy keys are split, and their row in small goes to each part."""
-    heavy = F.broadcast(heavy)
-    part = F.when(F.col("_rsd_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*large.columns), F.col("_rsd_parts"))).cast("int")
-    large = large.join(heavy, on, "left").withColumn("_rsd_part", part).drop("_rsd_parts")
-    parts = F.sequence(F.lit(0), F.coalesce("_rsd_parts", F.lit(1)) - 1)
-    small = small.join(heavy, on, "left").withColumn("_rsd_part", F.explode(parts)).drop("_rsd_parts")
+    if kinds := [c for c in on if large.schema[c].dataType != small.schema[c].dataType]:
+        raise TypeError(f"keys of different types: {kinds}")
+    large = large.withColumn("_rsd_part", F.pmod(F.xxhash64(*large.columns), _parts(on, heavy)).cast("int"))
+    small = small.withColumn("_rsd_part", F.explode(F.sequence(F.lit(0), _parts(on, heavy) - 1)))
     return large.join(small, [*on, "_rsd_part"]).drop("_rsd_part")
 
 

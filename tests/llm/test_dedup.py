@@ -165,3 +165,17 @@ def test_suffix_edges(edge, empty):
     assert out.columns == edge.columns and out.count() == len(rows)
     assert {(r._rsd_file, r._rsd_row, r._RSD_spans) for r in out.collect()} == {(7, 8, 9)}
     assert suffix_dedup.suffix_report(empty).count() == 0
+
+
+def test_heavy_keys_need_no_lookup_join(spark):
+    """A split key's parts follow from the key, so a join with split keys is one join and makes each row once."""
+    large = spark.range(4000).selectExpr("if(id < 3000, 7, id) as t1", "cast(id % 2 as int) as t2", "id as v")
+    small = large.select("t1", "t2").distinct().withColumn("w", F.col("t1") * 2)
+    heavy, total = common.heavy_keys(large.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("c")), ["t1", "t2"], "c")
+    assert total == 4000 and len(heavy) == 2 and all(parts >= 375 for _, parts in heavy)
+    out = common.spread_join(large, small, ["t1", "t2"], heavy)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert sorted((r.v, r.w) for r in out.collect()) == [(v, 14 if v < 3000 else 2 * v) for v in range(4000)]
+    with pytest.raises(TypeError):
+        common.spread_join(large, small.withColumn("t2", F.col("t2").cast("long")), ["t1", "t2"], heavy)
