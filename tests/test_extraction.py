@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua import constants as C
-from residua.operators import curate, extract, fragmenter, layers, reports
+from residua.operators import chains, curate, extract, fragmenter, layers, reports
 from residua.plans import catalogue
-from residua.sources import records, structures
+from residua.sources import records, structures, tables
 
 SF = "/root/testdata/sf0.001"
 RESIDUES = "chain_id string, idx int, aa string, x double, y double, z double, plddt double"
@@ -245,3 +245,36 @@ def test_principal_components(spark):
     want = np.abs(v @ axes[:, ::-1][:, :2])
     got = np.array([(r.pc1, r.pc2) for r in catalogue.q71_principal_components(spark, SF).orderBy("vec_id").collect()])
     assert got == pytest.approx(want, abs=1e-3)
+
+
+# ---- whole chains in NumPy ----
+
+
+def test_contacts_of_arrays_are_all_contacts():
+    rng = np.random.default_rng(2)
+    places = rng.uniform(-30, 30, (500, 3))
+    i, j = chains.contacts(places, 8.0, 2)
+    want = {(i, j) for i in range(500) for j in range(i + 2, 500) if np.linalg.norm(places[i] - places[j]) <= 8}
+    assert len(i) == len(want) > 100 and set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_chains_are_cut_as_residues_are(spark):
+    """The array rules against the joins and windows over residues; no chain is shuffled, whatever its length."""
+    seqs = tables.chains(spark, SF).where("length(seq) < 1500").limit(60).localCheckpoint()
+    rows = tables.residues(spark, SF, seqs.select(F.col("chain_id").alias("doc_id"), "seq")).withColumnRenamed("graph_id", "chain_id").localCheckpoint()
+    cut = chains.fragments(seqs, lambda name, letters: chains.by_boundaries(letters, tables.helix)[:2])
+    counted = chains.report(seqs, tables.helix)
+    for new in (cut, counted):
+        assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+    old = extract.extracted(rows)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, old.fragments.select("chain_id", "start", "end", "frag_id").collect()))
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, old.report.select(counted.columns).collect()))
+
+
+def test_older_rules_of_arrays():
+    rng = np.random.default_rng(3)
+    held = {f"c{k}": "".join(rng.choice(list("ARNDCQEGHILKMFPSTWYV"), n)) for k, n in enumerate((51, 300))}
+    held |= {f"s{k}": "".join("AEVYGS"[(2 * i + int(rng.integers(2))) % 6] for i in range(130)) for k in range(8)} | {f"u{k}": "GP" * 60 for k in range(3)}
+    for name, letters in held.items():
+        start, end = chains.by_older_rules(name, np.frombuffer(letters.encode(), np.uint8))
+        assert {(a, b, f"{a + 1}-{b}") for a, b in zip(start.tolist(), end.tolist())} == plain_older(name, letters)
