@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua import constants as C
-from residua.operators import chains, curate, extract, fragmenter, layers, reports
+from residua.operators import chains, curate, embed, extract, fragmenter, layers, reports
 from residua.plans import catalogue
 from residua.sources import records, structures, tables
 
@@ -278,3 +278,18 @@ def test_older_rules_of_arrays():
     for name, letters in held.items():
         start, end = chains.by_older_rules(name, np.frombuffer(letters.encode(), np.uint8))
         assert {(a, b, f"{a + 1}-{b}") for a, b in zip(start.tolist(), end.tolist())} == plain_older(name, letters)
+
+
+def test_a_model_gets_bounded_pieces(spark):
+    """The vectors of a batch's other sequences aren't held while a piece is embedded."""
+
+    def model():
+        def run(seqs):
+            assert sum(map(len, seqs)) <= 140
+            return [np.arange(2 * len(s), dtype=np.float32).reshape(-1, 2) for s in seqs]
+
+        return run
+
+    rows = spark.createDataFrame([(k, "A" * (k % 40)) for k in range(200)], "doc_id long, seq string").coalesce(1)
+    got = embed.embedded(rows, "doc_id", model, None, 100).collect()
+    assert len(got) == 200 and all(r.n == r.doc_id % 40 and r.embedding == [[2.0 * i, 2.0 * i + 1] for i in range(r.n)] for r in got)
