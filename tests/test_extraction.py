@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua import constants as C
-from residua.operators import chains, curate, embed, extract, fragmenter, layers, reports
+from residua.operators import chains, curate, embed, extract, fragmenter, graphs, layers, reports
 from residua.plans import catalogue
 from residua.sources import records, structures, tables
 
@@ -293,3 +293,11 @@ def test_a_model_gets_bounded_pieces(spark):
     rows = spark.createDataFrame([(k, "A" * (k % 40)) for k in range(200)], "doc_id long, seq string").coalesce(1)
     got = embed.embedded(rows, "doc_id", model, None, 100).collect()
     assert len(got) == 200 and all(r.n == r.doc_id % 40 and r.embedding == [[2.0 * i, 2.0 * i + 1] for i in range(r.n)] for r in got)
+
+
+def test_graph_sizes_are_those_of_the_edges(spark):
+    peptides = tables.peptides(spark, SF)
+    new = chains.graph_sizes(peptides.select(F.col("doc_id").alias("graph_id"), "seq"), tables.helix)
+    assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+    want = graphs.edges(tables.residues(spark, SF)).groupBy("graph_id").agg(F.count(F.lit(1)).alias("e"))
+    assert {r.graph_id: r.n_edges for r in new.collect()} == {r.graph_id: r.e for r in want.collect()}
