@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua import constants as C
-from residua.operators import chains, curate, embed, extract, fragmenter, graphs, layers, reports
+from residua.operators import chains, curate, embed, extract, fragmenter, graphs, layers, reports, topology
 from residua.plans import catalogue
 from residua.sources import records, structures, tables
 
@@ -301,3 +301,12 @@ def test_graph_sizes_are_those_of_the_edges(spark):
     assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
     want = graphs.edges(tables.residues(spark, SF)).groupBy("graph_id").agg(F.count(F.lit(1)).alias("e"))
     assert {r.graph_id: r.n_edges for r in new.collect()} == {r.graph_id: r.e for r in want.collect()}
+
+
+def test_clustering_of_arrays(spark):
+    peptides = tables.peptides(spark, SF).where("doc_id < 60")
+    new = chains.graph_clustering(peptides.select(F.col("doc_id").alias("graph_id"), "seq"), tables.helix)
+    assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+    rows = tables.residues(spark, SF, peptides).localCheckpoint()
+    want = topology.clustering(rows, graphs.edges(rows))
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, want.select("graph_id", "clustering").collect()))
