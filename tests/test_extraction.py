@@ -310,3 +310,17 @@ def test_clustering_of_arrays(spark):
     rows = tables.residues(spark, SF, peptides).localCheckpoint()
     want = topology.clustering(rows, graphs.edges(rows))
     assert sorted(map(tuple, new.collect())) == sorted(map(tuple, want.select("graph_id", "clustering").collect()))
+
+
+def test_components_and_paths_of_arrays(spark):
+    peptides = tables.peptides(spark, SF).where("doc_id < 60")
+    named = peptides.select(F.col("doc_id").alias("graph_id"), "seq")
+    rows = tables.residues(spark, SF, peptides).localCheckpoint()
+    edges = graphs.edges(rows).localCheckpoint()
+    pairs = [
+        (chains.graph_components(named, tables.helix), topology.components(rows, edges.where("edge_type >= 3"))),
+        (chains.graph_paths(named, tables.helix), topology.path_report(rows, edges.where("edge_type >= 3 or type_name = 'peptide'"))),
+    ]
+    for new, old in pairs:
+        assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.select(new.columns).collect()))
