@@ -115,20 +115,26 @@ def _sets(rows: DataFrame, bands: int, width: int) -> DataFrame:
 
 
 def _shingle_rows(rows: DataFrame) -> DataFrame:
-    """id and the set as an array."""
+    """id, num and the set as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, h, bounds in shingles(batch["text"]):
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(at, end - at), pa.ListArray.from_arrays(bounds.astype(np.int32), h.view(np.int64))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(at, end - at), batch["num"].slice(at, end - at), pa.ListArray.from_arrays(bounds.astype(np.int32), h.view(np.int64))], names=["id", "num", "shingles"])
         tk.release()
 
-    return rows.select("id", "text").mapInArrow(run, "id binary, shingles array<long>")
+    return rows.select("id", "num", "text").mapInArrow(run, "id binary, num long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (x, y), those that are linked. Each pair is held against both full sets; an id in very many pairs is split."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """Of pairs (x, y), those that are linked. Each pair is held against both full sets; an id in very many pairs is split.
+
+    Only the sets of ids in pairs are shuffled, as long as their names can be broadcast.
+    """
     pairs, _ = settle(pairs, "near-pairs")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    if ids.count() <= broadcast_rows:
+        sets = sets.join(F.broadcast(ids), "id", "left_semi")
     heavy = {c: heavy_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("c")), [c], "c")[0] for c in ("x", "y")}
     left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
@@ -181,25 +187,31 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = Non
     classes = sets.where("n_shingles > 0").groupBy("id", "n_shingles").agg(F.min(F.struct(first.alias("first"), F.col("a"), F.col("b"))).alias("m"))
     classes, _ = settle(classes.select("id", "n_shingles", "m.first", "m.a", "m.b"), "near-classes")
 
-    # a table key meets only where both its halves do: halves that are alone go before pairs are formed
-    half = classes.select("id", "n_shingles", "b", F.posexplode("a").alias("i", "ka"))
-    met, _ = settle(half.groupBy("i", "ka").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-halves")
-    heavy, _ = heavy_keys(met, ["i", "ka"], "c")
-    keys = spread_join(half, met.drop("c"), ["i", "ka"], heavy).select("id", F.col("n_shingles").alias("n"), "i", "ka", F.posexplode("b").alias("j", "kb"))
+    # a table key meets only where both its halves do: halves that are alone go before pairs are formed. A class finds out by
+    # its number which of its halves are alone, so the halves of a class go through shuffles one by one, without the others
+    number = [F.col(f"first.{c}").alias(c) for c in KEY]
+    alone = classes.select(*number, F.posexplode("a").alias("i", "ka")).groupBy("i", "ka").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(c).alias(c) for c in KEY)).where("c = 1")
+    alone = alone.groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("alone"))
+    met = classes.select("id", "n_shingles", "a", "b", *number).join(alone, KEY, "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+    met, at_met = settle(met.where(F.col("alone") != (1 << bands) - 1).drop(*KEY), "near-halves")
+    half = met.select("id", F.col("n_shingles").alias("n"), "alone", "b", F.posexplode("a").alias("i", "ka")).where(F.expr("(shiftright(alone, i) & 1L) = 0"))
+    keys = half.select("id", "n", "i", "ka", F.posexplode("b").alias("j", "kb"))
     keys = keys.select("id", "n", "i", "j", F.xxhash64("i", "ka", "j", "kb").alias("t1"), F.hash("i", "ka", "j", "kb").alias("t2"))
     table = ["t1", "t2"]
     shared, _ = settle(keys.groupBy(*table).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shared")
     heavy, _ = heavy_keys(shared, table, "c")
     tables, at_tables = settle(spread_join(keys, shared.drop("c"), table, heavy), "near-tables")
+    drop(spark, at_met)
 
     wanted = tables.select("id").distinct()
-    wanted, _ = settle(wanted.join(classes.select("id", "first"), "id").select("id", *(F.col(f"first.{c}").alias(c) for c in KEY)), "near-wanted")
+    wanted = wanted.join(classes.select("id", "first"), "id").select("id", F.monotonically_increasing_id().alias("num"), *number)
+    wanted, _ = settle(wanted, "near-wanted")
     chosen = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    full, _ = settle(_shingle_rows(rows.join(chosen, KEY).select("id", "text")), "near-full")
+    full, _ = settle(_shingle_rows(rows.join(chosen, KEY).select("id", "num", "text")), "near-full")
 
     # a shingle that no other candidate has lies in no intersection: with r of them, at most min(n - r, n' - r') are shared
-    lone = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
-    own = full.select("id", F.size("shingles").alias("n")).join(lone.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left").select("id", "n", F.coalesce("r", F.lit(0)).alias("r"))
+    lone = full.select("num", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("num").alias("num")).where("c = 1")
+    own = full.select("id", "num", F.size("shingles").alias("n")).join(lone.groupBy("num").agg(F.count(F.lit(1)).alias("r")), "num", "left").select("id", "n", F.coalesce("r", F.lit(0)).alias("r"))
     own = own.where(100 * (F.col("n") - F.col("r")) >= percent * F.col("n")).drop("n")
     tables, new = settle(tables.join(own, "id"), "near-pruned")
     drop(spark, at_tables)
@@ -224,7 +236,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = Non
         # one pair for each class: the centre of one of its tables
         pairs = open_.where(F.col("root") != F.col("centre.root")).where(fits("n", "r", "centre.n", "centre.r")).groupBy("id").agg(F.min(F.struct(F.col("centre.h").alias("h"), F.col("centre.id").alias("y"))).alias("m"))
         pairs = pairs.select(F.col("id").alias("x"), F.col("m.y").alias("y"))
-        found, _ = settle(_verified(pairs, full, percent), "near-links")
+        found, _ = settle(_verified(pairs, full, percent, broadcast_rows), "near-links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
         open_ = open_.drop("root", "centre").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -239,15 +251,13 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = Non
         sizes, _ = settle(sizes.withColumn("pairs", (F.col("c") - F.col("most")) * F.col("c")), "near-sizes")
         heavy, listed = heavy_keys(sizes, table, "pairs")
         blocks = max(1, int(listed // block) + 1)
-        # a pair that meets in several tables is listed in the first of them alone
-        halves = classes.select("id", "a", "b")
-        first = lambda c: F.array_position(F.zip_with(f"{c}x", f"{c}y", lambda p, q: p == q), F.lit(True)) - 1
+        side = lambda part, c: part.select("t1", "t2", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"q{c}"), F.col("root").alias(f"r{c}"))
         for k in range(blocks):
-            part = open_.where(F.pmod("t1", F.lit(blocks)) == k).join(halves, "id")
-            x = spread_join(part, sizes.select(*table, "big"), table, heavy).where("root != big").select("t1", "t2", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("qx"), F.col("root").alias("rx"), "i", "j", F.col("a").alias("ax"), F.col("b").alias("bx"))
-            y = part.select("t1", "t2", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("qy"), F.col("root").alias("ry"), F.col("a").alias("ay"), F.col("b").alias("by"))
-            pairs = spread_join(x, y, table, heavy).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy") & (first("a") == F.col("i")) & (first("b") == F.col("j"))).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-            found, _ = settle(_verified(pairs, full, percent), "near-links")
+            part = open_.where(F.pmod("t1", F.lit(blocks)) == k)
+            x = side(spread_join(part, sizes.select(*table, "big"), table, heavy).where("root != big"), "x")
+            # a pair that meets in several tables is checked once
+            pairs = spread_join(x, side(part, "y"), table, heavy).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+            found, _ = settle(_verified(pairs, full, percent, broadcast_rows), "near-links")
             links = found if links is None else links.unionByName(found)
         roots = components(links)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -179,3 +180,26 @@ def test_heavy_keys_need_no_lookup_join(spark):
     assert sorted((r.v, r.w) for r in out.collect()) == [(v, 14 if v < 3000 else 2 * v) for v in range(4000)]
     with pytest.raises(TypeError):
         common.spread_join(large, small.withColumn("t2", F.col("t2").cast("long")), ["t1", "t2"], heavy)
+
+
+def shuffled_bytes(spark):
+    """Written by all stages so far."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_near_shuffles_stay_small(spark):
+    """Templates with changed words meet in many tables without being linked: halves and full sets go through few shuffles."""
+    rng = random.Random(3)
+    base = [[f"t{k}w{n}" for n in range(120)] for k in range(60)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"x{rng.random()}" for w in base[k % 60]) for k in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_bytes(spark)
+        assert minhash_dedup.near_report(docs).count() == len(texts)
+        assert shuffled_bytes(spark) - before < 26 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
