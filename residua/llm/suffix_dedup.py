@@ -41,6 +41,8 @@ from .common import FILE, KEY, ROW, drop, guarded, heavy_keys, keyed, settle, sp
 
 U = np.uint64
 GRAM, ANCHOR, SHARD_BYTES = 200, 50, 1 << 20
+#: Bytes of contexts that a task cuts at a time.
+BATCH_BYTES = 4 << 20
 #: Places of the anchor that a range of windows spans, where an anchor is split.
 WIDTHS = (38, 10, 1)
 _STEP, _MASK = 1 << 20, U((1 << 21) - 1)
@@ -276,6 +278,15 @@ def _contexts_of(rows: DataFrame, gram: int, anchor: int) -> DataFrame:
     return rows.select("text", *KEY).mapInArrow(run, f"{_NAMED}, {_PLACE}")
 
 
+def _parts_of(sizes: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about `most` bytes; a larger one is alone."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 def _cut_contexts(rows: DataFrame, gram: int) -> DataFrame:
     """rows: text, KEY and wanted, an array of (h, c, d, lo, span, mark, n, classes)."""
     carried = ("h", "c", "d", "lo", "span", "mark", "n", "classes")
@@ -288,9 +299,12 @@ def _cut_contexts(rows: DataFrame, gram: int) -> DataFrame:
             lo, span = flat.field("lo").to_numpy(), flat.field("span").to_numpy()
             data, offsets = tk.text_bytes(batch["text"])
             start = offsets[own] + lo
-            body = [data[a:b].tobytes() for a, b in zip(start.tolist(), (start + span + (gram - 1)).tolist())]
-            take = pa.array(own)
-            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in carried), *(batch[k].take(take) for k in KEY), pa.array(body, pa.binary())], names=[*carried, *KEY, "body"])
+            end = start + span + (gram - 1)
+            for a, b in _parts_of(end - start):
+                body = [data[x:y].tobytes() for x, y in zip(start[a:b].tolist(), end[a:b].tolist())]
+                take = pa.array(own[a:b])
+                yield pa.RecordBatch.from_arrays([*(flat.field(c).slice(a, b - a) for c in carried), *(batch[k].take(take) for k in KEY), pa.array(body, pa.binary())], names=[*carried, *KEY, "body"])
+        tk.release()
 
     return rows.mapInArrow(run, f"{_NAMED}, lo int, span short, mark short, n long, classes long, {FILE} long, {ROW} long, body binary")
 

@@ -203,3 +203,13 @@ def test_near_shuffles_stay_small(spark):
         assert shuffled_bytes(spark) - before < 26 * sum(map(len, texts))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_work_of_a_task_is_bounded():
+    """Contexts are cut a few MB at a time, and the state stores of an executor share one bound of native memory."""
+    parts = list(suffix_dedup._parts_of(np.array([3, 4, 20, 1, 1, 9, 2]), 10))
+    assert parts == [(0, 2), (2, 3), (3, 5), (5, 6), (6, 7)]
+    assert list(suffix_dedup._parts_of(np.zeros(0, np.int64), 10)) == []
+    assert suffix_dedup.BATCH_BYTES <= 16 << 20
+    rocks = {k.rsplit(".", 1)[1]: v for k, v in exact_dedup.ROCKS_OPTIONS.items()}
+    assert rocks["boundedMemoryUsage"] == "true" and int(rocks["maxMemoryUsageMB"]) <= 256
