@@ -324,3 +324,24 @@ def test_components_and_paths_of_arrays(spark):
     for new, old in pairs:
         assert "Exchange" not in new._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, new.collect())) == sorted(map(tuple, old.select(new.columns).collect()))
+
+
+def test_attention_layers_build_graphs_in_a_task(spark):
+    """Each peptide's graph is built where its layers run: no shuffle, and the rows of the encoded graphs."""
+    from residua.operators import encode
+
+    plan = catalogue.q90_attention_layers(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    rows = spark.createDataFrame([(7, "ACDEFGHIKLMNPQRSTVWYX"), (8, "KKKEE"), (9, "A")], "graph_id long, seq string")
+    got = {}
+    for r in chains.graph_layers(rows, tables.helix, layers.stacked).collect():
+        got.setdefault(r.graph_id, {})[r.place] = r.h
+    residues = tables.residues(spark, SF, rows.withColumnRenamed("graph_id", "doc_id"))
+    want = {}
+    for r in layers.over_graphs(encode.encoded(graphs.nodes(residues), graphs.edges(residues)), layers.stacked).collect():
+        want.setdefault(r.graph_id, {})[r.place] = r.h
+    assert got.keys() == want.keys() == {7, 8}
+    for g, places in want.items():
+        assert got[g].keys() == places.keys()
+        for k, h in places.items():
+            assert got[g][k] == pytest.approx(h, abs=1e-5)
