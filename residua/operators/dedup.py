@@ -14,22 +14,30 @@ def shingled(seqs: DataFrame, id_: str = "doc_id", k: int = 3) -> DataFrame:
     return seqs.select(F.col(id_).alias("id"), F.expr("len div 5").alias("bucket"), "len", F.array_distinct(kmers(F.col("seq"), k)).alias("grams"))
 
 
-def jaccard_pairs(seqs: DataFrame, threshold: float = 0.6, coverage: float = 0.8) -> DataFrame:
+def jaccard_pairs(seqs: DataFrame, threshold: float = 0.6, coverage: float = 0.8, driver_grams: int = 20_000) -> DataFrame:
     """Pairs of a bucket with Jaccard similarity of their 3-mers and length ratio at the thresholds at least.
 
     Sequences with equal sets are one class until the end. Only a set's rarest grams, so many that two similar sets must share
-    one, are joined on, and only sets of sizes that allow the similarity; the full sets decide.
+    one, are joined on, and only sets of sizes that allow the similarity; the full sets decide. Grams of three residues are 8000 at
+    most and are ranked by the driver; beyond driver_grams they are ranked by joins.
     """
     rows = shingled(seqs).where(F.size("grams") > 0).withColumn("grams", F.array_sort("grams"))
     # grams have one length, so the joined ones name a set
     rows = rows.withColumn("set", F.md5(F.array_join("grams", "")))
     members = rows.select("bucket", "set", "id", "len")
     sets = rows.groupBy("bucket", "set").agg(F.first("grams").alias("grams"), F.count(F.lit(1)).alias("members"))
-    each = sets.select("bucket", "set", F.explode("grams").alias("gram"))
-    often = each.groupBy("gram").count()
-    ordered = each.join(often, "gram").groupBy("bucket", "set").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
-    keep = F.size("g") - F.ceil(F.lit(threshold) * F.size("g")) + 1
-    prefix = ordered.select("bucket", "set", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), keep.cast("int"))).alias("e")).select("bucket", "set", "n", "e.gram")
+    keep = lambda n: n - F.ceil(F.lit(threshold) * n) + 1
+    often = rows.select(F.explode("grams").alias("gram")).groupBy("gram").count()
+    few = often.limit(driver_grams + 1).collect()
+    if len(few) <= driver_grams:
+        # all grams in the order of their counts: what a set has of them comes in that order too, without a row for each gram
+        every = F.split(F.lit(" ".join(r.gram for r in sorted(few, key=lambda r: (r["count"], r.gram)))), " ")
+        ordered = sets.select("bucket", "set", F.array_intersect(every, F.col("grams")).alias("g"))
+        prefix = ordered.select("bucket", "set", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), keep(F.size("g")).cast("int"))).alias("gram"))
+    else:
+        each = sets.select("bucket", "set", F.explode("grams").alias("gram")).join(often, "gram")
+        ordered = each.groupBy("bucket", "set").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
+        prefix = ordered.select("bucket", "set", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), keep(F.size("g")).cast("int"))).alias("e")).select("bucket", "set", "n", "e.gram")
     left = prefix.select("bucket", F.col("set").alias("s1"), F.col("n").alias("n1"), "gram")
     right = prefix.select("bucket", F.col("set").alias("s2"), F.col("n").alias("n2"), "gram")
     fits = (F.col("s1") < F.col("s2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2"))

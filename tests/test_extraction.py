@@ -345,3 +345,14 @@ def test_attention_layers_build_graphs_in_a_task(spark):
         assert got[g].keys() == places.keys()
         for k, h in places.items():
             assert got[g][k] == pytest.approx(h, abs=1e-5)
+
+
+def test_rarest_grams_come_without_a_row_for_each_gram(spark):
+    """The order of the grams by the driver and by joins give the same pairs; by the driver no gram of a set is shuffled for it."""
+    from residua.operators import dedup
+
+    rows = tables.sequences(spark, SF)
+    ranked = dedup.jaccard_pairs(rows)
+    assert "collect_list" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    joined = dedup.jaccard_pairs(rows, driver_grams=1)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, joined.collect())) != []
