@@ -14,8 +14,9 @@ Rows whose sets are equal form one class first, however many they are. Classes t
 * Each round, a class is held against one other class that it meets and isn't yet joined with: the centre of one of its
   tables. So a round checks at most one pair for each class, and a group of any size is joined to few centres without listing
   its pairs. Rounds go on while they halve what is left.
-* What then is left, classes of different components that meet in a table and pass the bound, is checked pair by pair in
-  bounded blocks of tables. No candidate is dropped.
+* What then is left, classes of different components that meet in a table, is compared with what most classes around it have.
+  Two of them can be linked only if they differ from that in part alike, so a pair is checked if one of its rarest such
+  differences is in both, in bounded blocks. The bound is exact, so no candidate that can be linked is dropped.
 
 A pair is linked if 100 * intersection >= percent * union of the full sets (64-bit shingle hashes).
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import FILE, KEY, ROW, drop, guarded, heavy_keys, keyed, settle, spread_join
+from .common import FILE, KEY, ROW, Heavy, drop, guarded, heavy_keys, keyed, settle, spread_join
 
 U = np.uint64
 WIDTH, PERCENT, STAGE_PERCENT, MISS = 4, 85, 80, 3e-4
@@ -126,8 +127,8 @@ def _shingle_rows(rows: DataFrame) -> DataFrame:
     return rows.select("id", "num", "text").mapInArrow(run, "id binary, num long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """Of pairs (x, y), those that are linked. Each pair is held against both full sets; an id in very many pairs is split.
+def _with_sets(pairs: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
+    """pairs (x, y, ...) with their full sets sx and sy. An id in very many pairs is split.
 
     Only the sets of ids in pairs are shuffled, as long as their names can be broadcast.
     """
@@ -138,9 +139,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: i
     heavy = {c: heavy_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("c")), [c], "c")[0] for c in ("x", "y")}
     left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("sy"))
-    both = spread_join(spread_join(pairs, left, ["x"], heavy["x"]), right, ["y"], heavy["y"])
+    return spread_join(spread_join(pairs, left, ["x"], heavy["x"]), right, ["y"], heavy["y"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """Of pairs (x, y), those that are linked. Each pair is held against both full sets."""
     n = F.size(F.array_intersect("sx", "sy"))
-    return both.where(100 * n >= percent * (F.size("sx") + F.size("sy") - n)).select("x", "y")
+    return _with_sets(pairs, sets, broadcast_rows).where(100 * n >= percent * (F.size("sx") + F.size("sy") - n)).select("x", "y")
+
+
+def _left_over(open_: DataFrame, heavy: Heavy, full: DataFrame, percent: int, block: int, broadcast_rows: int) -> DataFrame:
+    """The links (x, y) between classes of different roots that meet in a table. open_: t1, t2, id, r, root; heavy: its tables.
+
+    A table's head is its class with fewest shingles of its own. Every class is held against the heads of its tables. For the
+    classes of one head the reference is the set of what most of them have, and a class's difference is what of the reference
+    and its own set isn't in both. With sizes n and d of set and difference, let w = (100 + percent) * d - (100 - percent) * n.
+    Then two classes are linked if and only if their differences share at least (w + w') / (200 + 2 * percent). Those for which
+    w and the head's least w are not above 0 together are linked with the class of that least w. In any other pair there is one
+    that isn't among them, so the two must share part of their differences. Hence pairs are listed only where both have one of
+    their rarest differences in common, so early in both orders that enough can follow: a group of variants of one text lists
+    few, whatever its size.
+    """
+    table, more, less = ["t1", "t2"], 100 + percent, 100 - percent
+    heads = open_.groupBy(*table).agg(F.min(F.struct("r", "id")).alias("m")).select(*table, F.col("m.id").alias("y"))
+    held = spread_join(open_.select(*table, "root", F.col("id").alias("x")), heads, table, heavy).where("x != y").select("x", "y", "root").distinct()
+    other = lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a))
+    held = _with_sets(held, full, broadcast_rows).select("x", "y", "root", F.size("sx").alias("n"), F.size("sy").alias("m"), other("sx", "sy").alias("differ"))
+    held, _ = settle(held, "near-differences")
+    found = held.where(more * F.size("differ") <= less * (F.col("n") + F.col("m"))).select("x", "y")
+
+    # from the head to the reference: what most classes have otherwise than the head
+    counts = held.groupBy("y").agg(F.count(F.lit(1)).alias("g"))
+    heavy_heads, _ = heavy_keys(counts, ["y"], "g")
+    often = held.select("y", F.explode("differ").alias("s")).groupBy("y", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    often = spread_join(often, counts, ["y"], heavy_heads).withColumn("most", 2 * F.col("c") > F.col("g"))
+    often, _ = settle(often.select("y", "s", "most", F.when(F.col("most"), F.col("g") - F.col("c")).otherwise(F.col("c")).alias("c")), "near-often")
+    turned = counts.select("y").join(often.where("most").groupBy("y").agg(F.collect_list("s").alias("turned")), "y", "left")
+    held = spread_join(held, turned.withColumn("turned", F.coalesce("turned", F.array().cast("array<long>"))), ["y"], heavy_heads)
+    held = held.select("x", "y", "root", "n", other("differ", "turned").alias("differ")).withColumn("d", F.size("differ"))
+    held, _ = settle(held.withColumn("w", (more * F.col("d") - less * F.col("n")).cast("long")), "near-differences")
+    low = held.groupBy("y").agg(F.min("w").alias("low"), F.min_by("x", "w").alias("lowest"))
+    held = spread_join(held, low, ["y"], heavy_heads).withColumn("near", F.col("w") + F.col("low") <= 0)
+    found = found.unionByName(held.where(F.col("near") & (F.col("x") != F.col("lowest"))).select("x", F.col("lowest").alias("y")))
+    far = held.where("not near").groupBy("y").agg(F.min("w").alias("far"))
+
+    # a difference that no other class of the head has is shared with none; the others follow, the rarest first
+    row = ["x", "y", "root", "d", "w", "near", "low", "far"]
+    each = spread_join(held, far, ["y"], heavy_heads).select(*row, F.explode("differ").alias("s"))
+    often = often.where("c > 1").select("y", "s", "c")
+    each = spread_join(each, often, ["y", "s"], heavy_keys(often, ["y", "s"], "c")[0])
+    each = each.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("order"))
+    # with the least that can be shared with a class that isn't near, and with any, the last place of a first one
+    last = lambda w: F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("w") + F.col(w)) / (2 * more)))
+    each = each.select(*row, (F.col("d") - F.size("order")).alias("own"), F.posexplode("order").alias("at", "e"))
+    each = each.withColumn("at", F.col("own") + F.col("at")).withColumn("early", F.col("at") <= last("far"))
+    each = each.where(F.col("early") | (~F.col("near") & (F.col("at") <= last("low"))))
+    each, _ = settle(each.select("x", "y", "root", "w", "near", F.col("e.s").alias("s"), (F.col("d") - F.col("at")).alias("rest"), "early"), "near-early")
+
+    sizes = each.groupBy("y", "s").agg(F.count_if("early").alias("a"), F.count_if(~F.col("near")).alias("b")).withColumn("pairs", F.col("a") * F.col("b")).where("pairs > 0")
+    sizes, _ = settle(sizes, "near-sizes")
+    heavy, listed = heavy_keys(sizes, ["y", "s"], "pairs")
+    blocks = max(1, int(listed // block) + 1)
+    side = lambda part, k: part.select("y", "s", *(F.col(c).alias(f"{c}{k}") for c in ("x", "root", "w", "near", "rest", "early")))
+    enough = 2 * more * F.least("rest1", "rest2") >= F.col("w1") + F.col("w2")
+    once = F.col("near1") | (F.col("early2") & (F.col("x1") < F.col("x2")))
+    for k in range(blocks):
+        part = each.where(F.pmod("s", F.lit(blocks)) == k)
+        pairs = spread_join(side(part.where("early"), 1), side(part.where("not near"), 2), ["y", "s"], heavy).where((F.col("root1") != F.col("root2")) & once & enough)
+        pairs = pairs.select(F.greatest("x1", "x2").alias("x"), F.least("x1", "x2").alias("y")).distinct()
+        more_found, _ = settle(_verified(pairs, full, percent, broadcast_rows), "near-links")
+        found = found.unionByName(more_found)
+    return found
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -243,22 +312,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int | None = Non
         turn += 1
 
     if left:
-        # every pair that is left. Of a table's largest component the members needn't be held against each other, so the rest
-        # of the table is held against all of it, in blocks of tables of about `block` pairs
-        open_ = open_.drop("centre")
-        each = open_.groupBy("t1", "t2", "root").agg(F.count(F.lit(1)).alias("c"))
-        sizes = each.groupBy(*table).agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("c"), F.max("c").alias("most"))
-        sizes, _ = settle(sizes.withColumn("pairs", (F.col("c") - F.col("most")) * F.col("c")), "near-sizes")
-        heavy, listed = heavy_keys(sizes, table, "pairs")
-        blocks = max(1, int(listed // block) + 1)
-        side = lambda part, c: part.select("t1", "t2", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"q{c}"), F.col("root").alias(f"r{c}"))
-        for k in range(blocks):
-            part = open_.where(F.pmod("t1", F.lit(blocks)) == k)
-            x = side(spread_join(part, sizes.select(*table, "big"), table, heavy).where("root != big"), "x")
-            # a pair that meets in several tables is checked once
-            pairs = spread_join(x, side(part, "y"), table, heavy).where((F.col("rx") != F.col("ry")) & fits("nx", "qx", "ny", "qy")).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-            found, _ = settle(_verified(pairs, full, percent, broadcast_rows), "near-links")
-            links = found if links is None else links.unionByName(found)
+        found = _left_over(open_.drop("centre"), heavy, full, percent, block, broadcast_rows)
+        links = found if links is None else links.unionByName(found)
         roots = components(links)
 
     named = classes.select("id", "first")

@@ -205,6 +205,35 @@ def test_near_shuffles_stay_small(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 150_000, "broadcast_rows": 1}])
+def test_variants_of_one_text_list_few_pairs(spark, monkeypatch, options):
+    """Variants of a text, most of which aren't linked with each other: what is listed doesn't grow with their square, and links among them are found."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+
+    def variant(places, tag):
+        return " ".join(f"{tag}{k}" if k in places else w for k, w in enumerate(base))
+
+    texts = [variant(set(rng.sample(range(150), rng.randint(2, 4))), f"x{n}y") for n in range(400)]
+    # pairs far from the text and near each other, also over a chain of three
+    for n in range(10):
+        places = rng.sample(range(150), 7)
+        texts += [variant(set(places[:k]), f"z{n}y") for k in (4, 5, 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    listed = []
+
+    def settle(df, name):
+        out = common.settle(df, name)
+        if name == "near-pairs":
+            listed.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "settle", settle)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash_dedup.near_groups(docs, **options).collect())
+    assert got == near_expected(docs.collect())
+    assert sum(listed) < 30 * len(texts)
+
+
 def test_work_of_a_task_is_bounded():
     """Contexts are cut a few MB at a time, and the state stores of an executor share one bound of native memory."""
     parts = list(suffix_dedup._parts_of(np.array([3, 4, 20, 1, 1, 9, 2]), 10))
