@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.sequence import kmers
+from residua.operators import similar
+from residua.session import checkpointed
 
 BANDS, ROWS = 18, 7
 
@@ -17,41 +19,12 @@ def shingled(seqs: DataFrame, id_: str = "doc_id", k: int = 3) -> DataFrame:
 def jaccard_pairs(seqs: DataFrame, threshold: float = 0.6, coverage: float = 0.8, driver_grams: int = 20_000) -> DataFrame:
     """Pairs of a bucket with Jaccard similarity of their 3-mers and length ratio at the thresholds at least.
 
-    Sequences with equal sets are one class until the end. Only a set's rarest grams, so many that two similar sets must share
-    one, are joined on, and only sets of sizes that allow the similarity; the full sets decide. Grams of three residues are 8000 at
-    most and are ranked by the driver; beyond driver_grams they are ranked by joins.
+    A set is shuffled once to each part of its bucket, as bits where the 8000 possible grams are driver_grams at most, else as a
+    list, and a task compares all sets of two parts. Rows without an id are in no pair, nor are two rows of one id.
     """
-    rows = shingled(seqs).where(F.size("grams") > 0).withColumn("grams", F.array_sort("grams"))
-    # grams have one length, so the joined ones name a set
-    rows = rows.withColumn("set", F.md5(F.array_join("grams", "")))
-    members = rows.select("bucket", "set", "id", "len")
-    sets = rows.groupBy("bucket", "set").agg(F.first("grams").alias("grams"), F.count(F.lit(1)).alias("members"))
-    keep = lambda n: n - F.ceil(F.lit(threshold) * n) + 1
-    often = rows.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    few = often.limit(driver_grams + 1).collect()
-    if len(few) <= driver_grams:
-        # all grams in the order of their counts: what a set has of them comes in that order too, without a row for each gram
-        every = F.split(F.lit(" ".join(r.gram for r in sorted(few, key=lambda r: (r["count"], r.gram)))), " ")
-        ordered = sets.select("bucket", "set", F.array_intersect(every, F.col("grams")).alias("g"))
-        prefix = ordered.select("bucket", "set", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), keep(F.size("g")).cast("int"))).alias("gram"))
-    else:
-        each = sets.select("bucket", "set", F.explode("grams").alias("gram")).join(often, "gram")
-        ordered = each.groupBy("bucket", "set").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("g"))
-        prefix = ordered.select("bucket", "set", F.size("g").alias("n"), F.explode(F.slice("g", F.lit(1), keep(F.size("g")).cast("int"))).alias("e")).select("bucket", "set", "n", "e.gram")
-    left = prefix.select("bucket", F.col("set").alias("s1"), F.col("n").alias("n1"), "gram")
-    right = prefix.select("bucket", F.col("set").alias("s2"), F.col("n").alias("n2"), "gram")
-    fits = (F.col("s1") < F.col("s2")) & (F.least("n1", "n2") >= threshold * F.greatest("n1", "n2"))
-    pairs = left.join(right, ["bucket", "gram"]).where(fits).select("bucket", "s1", "s2").distinct()
-    a = sets.select("bucket", F.col("set").alias("s1"), F.col("grams").alias("g1"))
-    b = sets.select("bucket", F.col("set").alias("s2"), F.col("grams").alias("g2"))
-    both = F.size(F.array_intersect("g1", "g2"))
-    sim = both / (F.size("g1") + F.size("g2") - both)
-    alike = pairs.join(a, ["bucket", "s1"]).join(b, ["bucket", "s2"]).select("bucket", "s1", "s2", sim.alias("jaccard")).where(F.col("jaccard") >= threshold)
-    alike = alike.unionByName(sets.where("members > 1").select("bucket", F.col("set").alias("s1"), F.col("set").alias("s2"), F.lit(1.0).alias("jaccard")))
-    x = members.select("bucket", F.col("set").alias("s1"), F.col("id").alias("x"), F.col("len").alias("n1"))
-    y = members.select("bucket", F.col("set").alias("s2"), F.col("id").alias("y"), F.col("len").alias("n2"))
-    full = alike.join(x, ["bucket", "s1"]).join(y, ["bucket", "s2"]).where("s1 != s2 or x < y").where(F.least("n1", "n2") / F.greatest("n1", "n2") >= coverage)
-    return full.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), F.round("jaccard", 6).alias("jaccard"))
+    checkpointed(seqs.sparkSession)
+    sets = similar.gram_sets(seqs, "doc_id", similar.GRAMS <= driver_grams).checkpoint()
+    return similar.similar_pairs(sets, threshold, coverage).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def md5_number(text: Column) -> Column:

@@ -7,6 +7,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,3 +357,72 @@ def test_rarest_grams_come_without_a_row_for_each_gram(spark):
     assert "collect_list" not in ranked._jdf.queryExecution().optimizedPlan().toString()
     joined = dedup.jaccard_pairs(rows, driver_grams=1)
     assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, joined.collect())) != []
+
+
+def _plain_jaccard(rows, threshold=0.6, coverage=0.8):
+    """(id1, id2): similarity, by all pairs."""
+    grams = [(i, len(t), {t[k : k + 3] for k in range(len(t) - 2)}) for i, t in rows if i is not None and t and len(t) >= 3]
+    out = {}
+    for i, n, g in grams:
+        for j, m, h in grams:
+            alike = len(g & h) / len(g | h)
+            if i < j and n // 5 == m // 5 and alike >= threshold and min(n, m) / max(n, m) >= coverage:
+                out[i, j] = round(alike, 6)
+    return out
+
+
+def _odd_sequences():
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), n)) for n in (5, 9, 40, 41, 44, 300)]
+    texts = [t[:p] + rng.choice(list("ACDY")) + t[p + 1 :] for t in base for p in rng.integers(0, len(t), 12)]
+    texts += [base[2]] * 30 + ["AAAAA", "AAAAAAAA", "ACACACAC", "AC", "A", "", None, "ACDEF\U0001f600" * 7, "ACDEF\U0001f600" * 7, "ACDEF\U0001f600" * 6 + "ACDEFX", "abcXZ" * 8, "abcXZ" * 8]
+    return [*enumerate(texts), (None, base[2]), (None, base[3])]
+
+
+def test_similar_sets_are_shuffled_once_and_no_pair_is(spark):
+    """q08's tasks compare whole parts of buckets: the packed sets are shuffled once, beside them only each bucket's weight, and no join is shuffled."""
+    plan = catalogue.q08_jaccard_pairs(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert sum("bucket" in line and ", i#" in line for line in shuffles) == 1 and "FlatMapGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("bounds, driver_grams", [(None, 20_000), (None, 1), ((3000, 3000), 20_000), ((3000, 3000), 1)])
+def test_similar_sets_of_odd_sequences(spark, bounds, driver_grams):
+    """Copies, other letters, rows without an id and short ones, in one part or several of a bucket: the pairs of a plain pass."""
+    from residua.operators import dedup, similar
+
+    rows = _odd_sequences()
+    seqs = spark.createDataFrame(rows, "doc_id long, seq string").withColumn("len", F.length("seq"))
+    if bounds:
+        sets = similar.gram_sets(seqs, "doc_id", similar.GRAMS <= driver_grams)
+        assert similar.in_parts(sets, bounds).where("i > 2").count() > 0
+        got = similar.similar_pairs(sets, 0.6, 0.8, bounds).withColumn("jaccard", F.round("jaccard", 6)).collect()
+    else:
+        got = dedup.jaccard_pairs(seqs, driver_grams=driver_grams).collect()
+    assert {(r.id1, r.id2): r.jaccard for r in got} == _plain_jaccard(rows)
+    assert len(got) == len(_plain_jaccard(rows)) > 400
+
+
+def test_similar_sets_in_small_blocks(monkeypatch):
+    """Blocks, columns and batches of a few: nothing is lost or doubled at their edges."""
+    from residua.operators import similar
+
+    for name, value in (("BLOCK", 7), ("WIDTH", 11), ("PAIRS", 5)):
+        monkeypatch.setattr(similar, name, value)
+    rows = [(i, t) for i, t in _odd_sequences() if i is not None and t and len(t) >= 3]
+    for parts in (1, 2):
+        for bits in (True, False):
+            got = []
+            for bucket in {len(t) // 5 for _, t in rows}:
+                own = [(i, t) for i, t in rows if len(t) // 5 == bucket]
+                for i, j in [(0, 0), (1, 0), (1, 1)][: 2 * parts - 1]:
+                    group = [(k, t) for k, t in own if k % parts in (i, j)]
+                    if group:
+                        batch = pa.RecordBatch.from_pydict({
+                            "i": [i] * len(group), "j": [j] * len(group), "part": [k % parts for k, _ in group], "id": [k for k, _ in group],
+                            "len": [len(t) for _, t in group], "grams": pa.array([similar.packed(t, bits) for _, t in group], pa.binary()),
+                        })
+                        for out in similar.similar_rows(0.6, 0.8)(iter([batch])):
+                            got += [(min(x, y), max(x, y), round(s, 6)) for x, y, s in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+            assert sorted(got) == sorted((x, y, s) for (x, y), s in _plain_jaccard(rows).items())
